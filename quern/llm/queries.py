@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from quern.llm import perplexity
+from quern.llm import decontaminate, perplexity, simhash, substring
 
 
 def queries() -> dict:
-    return {"op2_ngram_perplexity": perplexity.query}
+    return {
+        "op2_ngram_perplexity": perplexity.query,
+        "op7_line_hash_dedup": substring.query,
+        "op8_wu_manber_leaks": decontaminate.query,
+        "op9_simhash_groups": simhash.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_hash_dedup": substring.SQL, "op8_wu_manber_leaks": decontaminate.SQL}
