@@ -17,7 +17,6 @@ U64 = np.uint64
 #: Texts are handled in slices of about this many characters; a longer text is a slice of its own.
 SLICE_CHARS = 1 << 18
 _P = 0x9E3779B97F4A7C15
-_P_INV = pow(_P, -1, 1 << 64)
 _STATE: dict[str, np.ndarray] = {}
 
 
@@ -87,21 +86,31 @@ def fold(cps: np.ndarray) -> np.ndarray:
     return table[cps]
 
 
-def run_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
-    """64-bit hashes of values[start:end] for many ranges at once (0-valued elements don't count)."""
-    base, inverse = (_P, _P_INV) if not salt else (_P + 2 * salt, pow(_P + 2 * salt, -1, 1 << 64))
+def running(values: np.ndarray, salt: int = 0) -> tuple[np.ndarray, int]:
+    """The running sum that hashes of ranges of values are taken from."""
     x = values.astype(U64)
     x *= U64(0xD6E8FEB86659FD93)
     x ^= x >> U64(32)
-    x *= powers(len(x), base, f"p{salt}")
+    x *= powers(len(x), _P + 2 * salt, f"p{salt}")
     sums = np.zeros(len(x) + 1, U64)
     np.cumsum(x, out=sums[1:])
-    h = sums[end] - sums[start]
-    h *= powers(len(x) + 1, inverse, f"i{salt}")[start]
+    return sums, salt
+
+
+def range_hashes(sums: tuple[np.ndarray, int], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the ranges start:end (0-valued elements don't count)."""
+    total, salt = sums
+    h = total[end] - total[start]
+    h *= powers(len(total), pow(_P + 2 * salt, -1, 1 << 64), f"i{salt}")[start]
     h ^= (end - start).astype(U64) << U64(48)
     return mix(h)
 
 
+def run_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of values[start:end] for many ranges at once."""
+    return range_hashes(running(values, salt), start, end)
+
+
 def words(cps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of every word, in order."""
     w = fold(cps)

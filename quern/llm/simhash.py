@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from quern.llm import kernel as K
 from quern.llm.common import cut, map_arrow, pick, prepare, small, texts_of
 
-RADIUS, RATIO = 24, 0.8
+RADIUS, RATIO = 26, 0.8
 #: At least this many tiles, and more once a tile would have more than TILE_ROWS points.
 TILES, TILE_ROWS = 16, 200_000
 _U = np.uint64
