@@ -66,3 +66,10 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 def new_name(prefix: str) -> str:
     return f"{prefix}_{uuid.uuid4().hex[:12]}"
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in the one column of ids; rows with a null doc_id stay."""
+    name = new_name("id")
+    gone = cut(ids.toDF(name).where(F.col(name).isNotNull()).distinct())
+    return docs.join(small(gone, gone.count()), column(docs, "doc_id") == F.col(name), "left_anti")

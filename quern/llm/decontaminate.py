@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import kernel as K
-from quern.llm.common import cut, map_arrow, pick, prepare, small, texts_of
+from quern.llm.common import cut, map_arrow, pick, prepare, texts_of, without
 
 WINDOW, GROUP = 13, 20_000
 _BLOCK, _STRETCH, _BITS = 8, 512, 21
@@ -217,8 +217,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, group: in
 
 def keep(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """docs without the documents that hold a test string (all their rows, if a doc_id repeats)."""
-    gone = cut(leaks(docs, benchmark, **parameters).where("doc_id is not null").select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(small(gone, gone.count()), docs["doc_id"] == F.col("__id"), "left_anti")
+    return without(docs, leaks(docs, benchmark, **parameters).select("doc_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

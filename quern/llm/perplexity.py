@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.llm import kernel as K
-from quern.llm.common import cut, map_arrow, pick, prepare, small, texts_of
+from quern.llm.common import cut, map_arrow, pick, prepare, texts_of, without
 
 ORDER = 5
 _BITS = 12
@@ -272,18 +272,24 @@ def scores(docs: DataFrame, model: DataFrame, model_rows: int = MODEL_ROWS) -> D
     if shards == 1:
         var = spark.sparkContext.broadcast(build_model(model.toArrow()))
         return map_arrow(docs, _score_task(var, ["doc_id", "lang"], 0, 1), schema)
-    raise_to = None
-    owner = F.udf(lambda g: int(K.mix(np.array([g], np.int64).view(_U))[0] >> _U(40)) * shards >> 24, "int")
-    tagged = cut(model.withColumn("s", F.when(F.col("k") == ORDER, owner("g"))))
+    total = None
+
+    def tag(batches):
+        for batch in batches:
+            g, k = batch.column(2).to_numpy().view(_U), batch.column(0).to_numpy()
+            s = np.where(k == ORDER, (K.mix(g) >> _U(40)).astype(np.int64) * shards >> 24, -1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], [*batch.schema.names, "s"])
+
+    tagged = cut(map_arrow(model.select("k", "lang", "g", "lp", "bow"), tag, "k int, lang string, g long, lp double, bow double, s long"))
     keyed = docs.withColumn("at", F.monotonically_increasing_id())  # places in the files, alike in each pass
     for s in range(shards):
-        part = tagged.where(F.col("s").isNull() | (F.col("s") == s)).drop("s")
+        part = tagged.where(F.col("s").isin(-1, s)).drop("s")
         var = spark.sparkContext.broadcast(build_model(part.toArrow()))
         x = map_arrow(keyed, _score_task(var, ["doc_id", "lang", "at"], s, shards), schema.replace(", nll", ", at long, nll"))
         x = cut(x)
         var.unpersist()
-        raise_to = x if raise_to is None else raise_to.unionByName(x)
-    return raise_to.groupBy("at").agg(F.first("doc_id").alias("doc_id"), F.first("lang").alias("lang"), F.sum("nll").alias("nll"), F.first("n").alias("n")).drop("at")
+        total = x if total is None else total.unionByName(x)
+    return total.groupBy("at").agg(F.first("doc_id").alias("doc_id"), F.first("lang").alias("lang"), F.sum("nll").alias("nll"), F.first("n").alias("n")).drop("at")
 
 
 def judged(docs: DataFrame, prior_chars: int = PRIOR_CHARS, low: float = LOW, high: float = HIGH, least_docs: int = LEAST_DOCS, model_rows: int = MODEL_ROWS) -> DataFrame:
@@ -308,8 +314,7 @@ def judged(docs: DataFrame, prior_chars: int = PRIOR_CHARS, low: float = LOW, hi
 
 def keep(docs: DataFrame, **parameters) -> DataFrame:
     """docs without the documents that the perplexity bands reject (all their rows, if a doc_id repeats)."""
-    rejected = cut(judged(docs, **parameters).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(small(rejected, rejected.count()), docs["doc_id"] == F.col("__id"), "left_anti")
+    return without(docs, judged(docs, **parameters).where("not kept").select("doc_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

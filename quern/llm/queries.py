@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import decontaminate, langid, linededup, packing, perplexity, simhash, substring, toxicity
+from quern.llm import decontaminate, langid, linededup, packing, perplexity, quotation, simhash, substring, tokenbin, toxicity
 
 
 def queries() -> dict:
@@ -12,9 +12,11 @@ def queries() -> dict:
         "op3_bitmask_langid": langid.query,
         "op4_genetic_packing": packing.query,
         "op5_template_line_dedup": linededup.query,
+        "op6_bitplane_tokens": tokenbin.query,
         "op7_line_hash_dedup": substring.query,
         "op8_wu_manber_leaks": decontaminate.query,
         "op9_simhash_groups": simhash.query,
+        "op10_quotation_threads": quotation.query,
     }
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import kernel as K
-from quern.llm.common import cut, map_arrow, pick, prepare, small, texts_of
+from quern.llm.common import cut, map_arrow, pick, prepare, small, texts_of, without
 
 RADIUS, RATIO = 26, 0.8
 #: At least this many tiles, and more once a tile would have more than TILE_ROWS points.
@@ -204,8 +204,7 @@ def duplicates(docs: DataFrame, radius: int = RADIUS, ratio: float = RATIO, tile
 
 def keep(docs: DataFrame, **parameters) -> DataFrame:
     """docs with one document of each group."""
-    gone = cut(duplicates(docs, **parameters).select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(small(gone, gone.count()), docs["doc_id"] == F.col("__id"), "left_anti")
+    return without(docs, duplicates(docs, **parameters).select("doc_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import kernel as K
-from quern.llm.common import cut, map_arrow, pick, prepare, small, texts_of
+from quern.llm.common import column, cut, map_arrow, new_name, pick, prepare, small, texts_of
 
 MIN_WORDS = 5
 _SPACE = np.array([9, 10, 12, 13, 32], np.uint32)
@@ -103,11 +103,11 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return both.where("doc_id <> kept_doc_id or start <> kept_start").select("doc_id", "start", "stop", "n_words", "kept_doc_id", "kept_start")
 
 
-def _cut_task(names):
+def _cut_task(names, spans_name):
     def task(batches):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            spans = batch.column(batch.schema.get_field_index("__spans")).to_pylist()
+            spans = batch.column(batch.schema.get_field_index(spans_name)).to_pylist()
             out = []
             for t, s in zip(texts, spans, strict=True):
                 for x in sorted(s or [], key=lambda x: -x["start"]):
@@ -120,9 +120,10 @@ def _cut_task(names):
 
 def clean(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs, each text without the units that repeat an earlier one."""
-    spans = cut(repeats(docs, min_words).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("start", "stop")).alias("__spans")))
-    joined = docs.join(small(spans, spans.count(), 100_000), docs["doc_id"] == F.col("__id"), "left").drop("__id")
-    return joined.mapInArrow(_cut_task(docs.columns), docs.schema)
+    key, held = new_name("id"), new_name("spans")
+    spans = cut(repeats(docs, min_words).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("start", "stop")).alias(held)))
+    joined = docs.join(small(spans, spans.count(), 100_000), column(docs, "doc_id") == F.col(key), "left").drop(key)
+    return joined.mapInArrow(_cut_task(docs.columns, held), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
