@@ -95,11 +95,13 @@ class Network:
 
 def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
     rng = np.random.default_rng(seed)
-    seq, start, end = sequences(texts)
-    of = np.repeat(np.arange(len(texts)), np.diff(np.append(start, len(seq))))
-    pairs = np.unique((of[:, None] * BUCKETS + seq)[seq < BUCKETS])
-    of, words = pairs // BUCKETS, pairs % BUCKETS
-    df = [np.bincount(words[toxic[of] == c], minlength=BUCKETS) for c in (0, 1)]
+    docs: list[np.ndarray] = []  # each text's buckets with its paddings
+    df = np.zeros((2, BUCKETS), np.int64)
+    for lo, hi in K.slices(texts):
+        seq, start, _ = sequences(texts[lo:hi])
+        docs += [x.copy() for x in np.split(seq, start[1:])]
+    for x, c in zip(docs, toxic, strict=True):
+        df[int(c), np.unique(x[x < BUCKETS])] += 1
     odds = np.log((df[1] + 4) / (np.sum(toxic == 1) + 8)) - np.log((df[0] + 4) / (np.sum(toxic == 0) + 8))
     e = np.zeros((BUCKETS + 1, DIM), np.float32)
     e[:-1] = rng.normal(0, 0.02, (BUCKETS, DIM))
@@ -119,10 +121,11 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
             grads = [np.zeros_like(p) for p in dense]
             rows, updates = [], []
             for i in order[k : k + BATCH]:
-                if end[i] == start[i]:
+                seq = docs[i]
+                n = len(seq) - max(WIDTHS) + 1
+                if n <= 0:
                     continue
-                x = vectors(e, seq[start[i] : end[i] + max(WIDTHS) - 1])
-                n = end[i] - start[i]
+                x = vectors(e, seq)
                 features, places = [], []
                 for w, p, b in zip(WIDTHS, params, bias, strict=True):
                     windows = np.concatenate([x[o : o + n] for o in range(w)], axis=1)
@@ -141,7 +144,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
                     grads[len(WIDTHS) + j] += g
                     deep = (params[j] * g).T.reshape(FILTERS, w, DIM)
                     for o in range(w):
-                        rows.append(seq[start[i] + top + o].ravel())
+                        rows.append(seq[top + o].ravel())
                         updates.append(np.repeat(deep[:, o], PARTS, axis=0))
             for p, g, m, v in zip(dense, grads, mean, square, strict=True):
                 g /= BATCH
