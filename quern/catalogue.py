@@ -24,9 +24,15 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    import quern.queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
