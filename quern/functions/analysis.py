@@ -138,8 +138,9 @@ def analyze(c: Column, analyzer: str = "unicode", locales: tuple[str, ...] = (),
 
 def tokens(c: Column) -> Column:
     """Letter and digit runs of at least 2 characters, of any length in text with a per-character script."""
-    least = F.when(F.regexp_like(c, F.lit(f"[{JAVA_CLASS}]")), 1).otherwise(2)
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) >= least)
+    words = F.split(F.lower(c), r"[^\p{L}\p{N}]+")
+    short = F.regexp_like(c, F.lit(f"[{JAVA_CLASS}]"))  # outside the lambdas, which run once a token
+    return F.when(short, F.filter(words, lambda t: F.length(t) >= 1)).otherwise(F.filter(words, lambda t: F.length(t) >= 2))
 
 
 def vocabulary_tokens(c: Column) -> Column:

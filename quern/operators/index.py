@@ -13,6 +13,11 @@ from quern.functions import analysis
 from quern.spec import TITLES, ColumnSpec, Config, SearchableSpec
 
 
+def once(df: DataFrame) -> DataFrame:
+    """The same rows, computed once each: conditions on them aren't pushed below, where they'd repeat the analysis."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def with_relations(records: DataFrame, spec: SearchableSpec) -> DataFrame:
     """The records with a column ``relation.name`` for each dot-notation column."""
     for r in spec.relations:
@@ -57,7 +62,7 @@ def rows(records: DataFrame, spec: SearchableSpec, config: Config = Config(), te
     def analysed(c: ColumnSpec) -> Column:
         return analysis.analyze(F.col(f"`{c.name}`"), config.analyzer, config.stopword_locales, config.dedupe_on_stopwords, c.locale, has_arabic)
 
-    staged = docs.select("doc_id", title_of(spec).alias("title"), *[analysed(c).alias(f"a{k}") for k, c in enumerate(spec.columns)])
+    staged = once(docs.select("doc_id", title_of(spec).alias("title"), *[analysed(c).alias(f"a{k}") for k, c in enumerate(spec.columns)]))
     texts, toks = [], []
     for w in range(1, config.max_weight + 1):
         own = [f"a{k}" for k, c in enumerate(spec.columns) if weight(c) == w]
@@ -66,7 +71,7 @@ def rows(records: DataFrame, spec: SearchableSpec, config: Config = Config(), te
         for name in own:
             parts += [analysis.tokens(F.col(name)), F.array(F.lit(""))]
         toks.append((F.concat(*parts[:-1]) if own else F.array().cast("array<string>")).alias(f"tok_w{w}"))
-    return staged.select(F.lit(tenant).alias("tenant"), F.lit(spec.model).alias("model"), "doc_id", "title", *texts, *toks, (synced_at if synced_at is not None else F.lit(None).cast("timestamp")).alias("last_synced_at"))
+    return once(staged.select(F.lit(tenant).alias("tenant"), F.lit(spec.model).alias("model"), "doc_id", "title", *texts, *toks, (synced_at if synced_at is not None else F.lit(None).cast("timestamp")).alias("last_synced_at")))
 
 
 def words_of(config: Config = Config()) -> Column:

@@ -109,13 +109,17 @@ def weighted(fields: dict[int, Column]) -> Column:
     return F.when(weight > 0, total / weight).otherwise(0.0)
 
 
+def starting(word: str):
+    return lambda t: F.startswith(t, F.lit(word))
+
+
 def quick(words: list[str], config: Config) -> Column:
     """Occurrences of each word; where there are none, a tenth for each token it begins, 1 at most."""
     tokens = all_tokens(config)
     parts = []
     for word in words:
         exact = occurrences(tokens, word)
-        begins = F.size(F.filter(tokens, lambda t, word=word: F.startswith(t, F.lit(word))))
+        begins = F.size(F.filter(tokens, starting(word)))
         parts.append(F.when(exact > 0, exact.cast("double")).otherwise(F.least(begins * 0.1, F.lit(1.0))))
     return reduce(add, parts, F.lit(0.0))
 

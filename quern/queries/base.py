@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.index import Index
+from quern.operators.index import Index, rows
 from quern.operators.search import Search, search
+from quern.session import shared_folder
 from quern.sources.io import table
 from quern.spec import ColumnSpec, Config, SearchableSpec
 
@@ -16,17 +19,30 @@ CONVERSATIONS = SearchableSpec("conversations", "key", (ColumnSpec("text"),))
 WIDE = Config(max_results=1_000_000)
 
 
+_BUILT: dict[tuple, str] = {}
+
+
+def built(spark: SparkSession, sf: str, records: DataFrame, spec: SearchableSpec, config: Config) -> Index:
+    """The index of a table's records, written to the shared folder by the first query of a session that needs it."""
+    key = (spark.sparkContext.applicationId, sf, spec.model, repr(config))
+    if key not in _BUILT:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        rows(records, spec, config).write.parquet(path)
+        _BUILT[key] = path
+    return Index(spark.read.parquet(_BUILT[key]), spec, config, source=records)
+
+
 def documents(spark: SparkSession, sf: str, config: Config = WIDE) -> Index:
-    return Index.over(table(spark, sf, "documents"), DOCUMENTS, config)
+    return built(spark, sf, table(spark, sf, "documents"), DOCUMENTS, config)
 
 
 def parts(spark: SparkSession, sf: str, config: Config = WIDE) -> Index:
-    return Index.over(table(spark, sf, "part"), PARTS, config)
+    return built(spark, sf, table(spark, sf, "part"), PARTS, config)
 
 
 def messages(spark: SparkSession, sf: str, config: Config = WIDE) -> Index:
     turns = table(spark, sf, "conversations").withColumn("key", F.concat_ws("-", "conv_id", "turn"))
-    return Index.over(turns, CONVERSATIONS, config)
+    return built(spark, sf, turns, CONVERSATIONS, config)
 
 
 def find(index: Index, query: str) -> Search:

@@ -77,7 +77,7 @@ def postings(spark, sf):
     return documents(spark, sf).table("postings").select("doc_id", "term", "tf", "dl")
 
 
-@register("lim_prune", "SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM documents ORDER BY doc_id DESC LIMIT 150")
+@register("lim_prune", "SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM documents ORDER BY documents.doc_id DESC LIMIT 150")
 def prune(spark, sf):
     return ix.pruned(documents(spark, sf).rows, 150).select("doc_id")
 

@@ -19,3 +19,13 @@ def let_workers_import(spark: SparkSession) -> None:
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *parts])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that every executor sees: the session's spark.checkpoint.dir; one in /tmp only for local sessions."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor shares")
+        folder = f"file:///tmp/quern-checkpoint-{os.getuid()}"
+    return folder.rstrip("/")
