@@ -199,10 +199,10 @@ class Search:
             own = out.where(F.col("model") == index.spec.model)
             wanted = [c for c in index.spec.columns if c.snippet and c.expression is None and "." not in c.name and "->" not in c.name]
             if summary and index.source is not None and wanted:
-                texts = index.source.select(F.col(f"`{index.spec.key}`").cast("string").alias("doc_id"), *[F.col(f"`{c.name}`").cast("string").alias(c.name) for c in wanted])
+                texts = index.source.select(F.col(f"`{index.spec.key}`").cast("string").alias("doc_id"), *[F.col(f"`{c.name}`").cast("string").alias(f"__s{k}") for k, c in enumerate(wanted)])
                 own = F.broadcast(own).join(texts, "doc_id", "right").where(F.col("id").isNotNull())  # a page of rows
-                own = own.withColumn("summary", snippet.snippet([F.col(f"`{c.name}`") for c in wanted], self.parsed().highlights()))
-                raw = F.create_map(*[x for c in wanted for x in (F.lit(c.name), F.col(f"`{c.name}`"))])
+                own = own.withColumn("summary", snippet.snippet([F.col(f"__s{k}") for k in range(len(wanted))], self.parsed().highlights()))
+                raw = F.create_map(*[x for k, c in enumerate(wanted) for x in (F.lit(c.name), F.col(f"__s{k}"))])
             else:
                 own, raw = own.withColumn("summary", F.lit(None).cast("string")), F.create_map().cast("map<string,string>")
             parts.append(own.select("id", "model", "doc_id", "rank", "title", "summary", raw.alias("raw"), F.lit(True).alias("authorized"), "total_count"))
