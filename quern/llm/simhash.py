@@ -5,13 +5,13 @@
   single-word features would bring unrelated texts close.  128 bits, not 64: a copy with 3 words in 100 changed is
   some 14 of 128 bits away and unrelated texts 64, which leaves room for a radius between; of 64 bits, 7 and 32
   overlap once the pairs of documents run into the billions.
-* **Comparison.**  Documents with equal signatures are one point.  The points are sorted by number of word pairs
-  and population count and cut into tiles; every pair of tiles is one group of a Spark task, which compares
-  sub-tiles by exclusive-or and bit counts in numpy.  A pair of (sub-)tiles is skipped if its population counts
-  differ by more than the radius, or its texts' lengths by more than ``ratio``, which is part of the definition:
-  two documents are near duplicates if their signatures differ in at most ``radius`` bits and the shorter has at
-  least ``ratio`` times the word pairs of the longer.  Nothing else is skipped: within that definition the search
-  is exact, and its work grows with the square of the number of distinct signatures.
+* **Comparison.**  Two documents are near duplicates if their signatures differ in at most ``radius`` bits, however
+  long they are.  Documents with equal signatures are one point.  The points are sorted by population count and cut
+  into tiles; every pair of tiles is one group of a Spark task, which compares sub-tiles by exclusive-or and bit
+  counts in numpy.  A pair of (sub-)tiles is skipped only if its population counts differ by more than the radius,
+  which no pair within the radius does; and of the rest, both halves of the signatures are counted in full only
+  where one half differs in at most half the radius, as in any pair within it.  So the search is exact, and its
+  work grows with the square of the number of distinct signatures.
 * **Groups.**  Each task passes on a spanning forest of the pairs it found, not the pairs; the connected components
   over all tasks are groups, found by alternating large-star and small-star steps, each written to the shared
   folder.  The document with the smallest doc_id of each group stays.
@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from quern.llm import kernel as K
 from quern.llm.common import cut, map_arrow, pick, prepare, small, texts_of, without
 
-RADIUS, RATIO = 26, 0.8
+RADIUS = 26
+#: Least ratio of the lengths of two near duplicates: none, the radius alone decides.
+RATIO = 0.0
 #: At least this many tiles, and more once a tile would have more than TILE_ROWS points.
 TILES, TILE_ROWS = 16, 200_000
 _U = np.uint64
@@ -74,38 +76,44 @@ def _signature_task(batches):
     for batch in batches:
         sig, n = signatures_of(texts_of(batch))
         ids = batch.column(batch.schema.get_field_index("doc_id"))
-        out = pa.RecordBatch.from_arrays([ids, pa.array(sig[:, 0].view(np.int64)), pa.array(sig[:, 1].view(np.int64)), pa.array(n)], ["doc_id", "h0", "h1", "n"])
+        out = pa.RecordBatch.from_arrays([ids, pa.array(sig[:, 0].view(np.int64)), pa.array(sig[:, 1].view(np.int64))], ["doc_id", "h0", "h1"])
         yield out.filter(pa.array(n > 0))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, h0, h1, n) for the rows of docs (doc_id, text) that have a doc_id and a word."""
-    return map_arrow(docs.where("doc_id is not null and text is not null").select("doc_id", "text"), _signature_task, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h0 long, h1 long, n long")
+    """(doc_id, h0, h1) for the rows of docs (doc_id, text) that have a doc_id and a word."""
+    return map_arrow(docs.where("doc_id is not null and text is not null").select("doc_id", "text"), _signature_task, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h0 long, h1 long")
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, radius: int, ratio: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of all pairs within the radius between two tiles (each sorted by n); of one tile, each pair once."""
-    pa_, pb_ = np.bitwise_count(a).sum(axis=1, dtype=np.int64), np.bitwise_count(b).sum(axis=1, dtype=np.int64)
+def populations(sig: np.ndarray) -> np.ndarray:
+    """The number of bits set in each of (n, 2) signatures."""
+    return np.bitwise_count(sig).sum(axis=1, dtype=np.int64)
+
+
+def close_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of all pairs within the radius between two tiles (each sorted by population count); of one tile, each pair once."""
+    pa_, pb_ = populations(a), populations(b)
     left, right = [], []
-    rows, cols = 256, 4096
-    b0 = np.ascontiguousarray(b[:, 0])
+    rows, cols = 64, 4096
+    halves = [(np.ascontiguousarray(a[:, k]), np.ascontiguousarray(b[:, k])) for k in (0, 1)]
+    differ = np.empty(rows * cols, _U)
+    counts = np.empty((2, rows * cols), np.uint8)
     for i in range(0, len(a), rows):
-        x, p, n = a[i : i + rows], pa_[i : i + rows], na[i : i + rows]
-        lo, hi = np.searchsorted(nb, [math.ceil(n[0] * ratio - 1e-9), math.floor(n[-1] / ratio + 1e-9) + 1])
+        end = min(i + rows, len(a))
+        lo, hi = np.searchsorted(pb_, [pa_[i] - radius, pa_[end - 1] + radius + 1])
         if same:
             lo = max(lo, i)
         for j in range(lo, hi, cols):
             stop = min(hi, j + cols)
-            q = pb_[j:stop]
-            if p.min() - q.max() > radius or q.min() - p.max() > radius:
-                continue
-            near = np.bitwise_count(x[:, 0, None] ^ b0[None, j:stop]) <= radius
-            u, v = np.nonzero(near)
-            v += j
-            d = np.bitwise_count(x[u, 0] ^ b0[v]) + np.bitwise_count(x[u, 1] ^ b[v, 1])
-            short, long = np.minimum(n[u], nb[v]), np.maximum(n[u], nb[v])
-            ok = (d <= radius) & (short >= long * ratio - 1e-9)
-            u, v = u[ok] + i, v[ok]
+            shape = (end - i, stop - j)
+            x = differ[: shape[0] * shape[1]].reshape(shape)
+            c = [counts[k, : x.size].reshape(shape) for k in (0, 1)]
+            for k, (of_a, of_b) in enumerate(halves):
+                np.bitwise_xor(of_a[i:end, None], of_b[None, j:stop], out=x)
+                np.bitwise_count(x, out=c[k])
+            at = np.flatnonzero(np.minimum(c[0], c[1]) <= radius // 2)
+            at = at[counts[0, at] + counts[1, at] <= radius]
+            u, v = at // shape[1] + i, at % shape[1] + j
             if same:
                 u, v = u[u < v], v[u < v]
             left.append(u)
@@ -130,18 +138,19 @@ def forest(u: np.ndarray, v: np.ndarray, size: int) -> np.ndarray:
         label = new
 
 
-def _tile_task(radius: int, ratio: float):
+def _tile_task(radius: int):
     def task(table: pa.Table) -> pa.Table:
         rep = table["rep"].to_numpy()
         order = np.argsort(rep, kind="stable")  # a node's label is then the least doc_id
-        n, right = table["n"].to_numpy()[order], table["r"].to_numpy()[order] == 1
+        right = table["r"].to_numpy()[order] == 1
         sig = np.stack([table["h0"].to_numpy()[order], table["h1"].to_numpy()[order]], axis=1).view(_U)
         rep = rep[order]
+        pop = populations(sig)
         ia = np.flatnonzero(~right)
-        ia = ia[np.argsort(n[ia], kind="stable")]
+        ia = ia[np.argsort(pop[ia], kind="stable")]
         same = bool(table["same"][0].as_py())
-        ib = ia if same else (lambda x: x[np.argsort(n[x], kind="stable")])(np.flatnonzero(right))
-        u, v = close_pairs(sig[ia], sig[ib], n[ia], n[ib], radius, ratio, same)
+        ib = ia if same else (lambda x: x[np.argsort(pop[x], kind="stable")])(np.flatnonzero(right))
+        u, v = close_pairs(sig[ia], sig[ib], radius, same)
         label = forest(ia[u], ib[v], len(rep))
         moved = np.flatnonzero(label != np.arange(len(rep)))
         return pa.table({"a": pa.array(rep[moved]), "b": pa.array(rep[label[moved]])})
@@ -149,30 +158,30 @@ def _tile_task(radius: int, ratio: float):
     return task
 
 
-def edges(points: DataFrame, radius: int = RADIUS, ratio: float = RATIO, tiles: int = TILES, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(a, b), a > b: a spanning forest, task by task, of all near-duplicate pairs of points (rep, h0, h1, n)."""
+def edges(points: DataFrame, radius: int = RADIUS, tiles: int = TILES, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(a, b), a > b: a spanning forest, task by task, of all near-duplicate pairs of points (rep, h0, h1)."""
     spark = points.sparkSession
     total = points.count()
     g = max(1, min(max(tiles, math.ceil(total / tile_rows)), math.ceil(total / 256)))
-    points = points.withColumn("key", F.col("n") * 256 + F.bit_count("h0") + F.bit_count("h1"))
+    pop = F.bit_count("h0") + F.bit_count("h1")
+    # points of one population count are many: a hash spreads them over tiles
+    points = points.withColumn("key", pop * 65536 + F.pmod(F.xxhash64("h0", "h1"), F.lit(65536)))
     cuts = sorted(set(points.approxQuantile("key", [k / g for k in range(1, g)], 1 / (8 * g)))) if g > 1 and total else []
     tile = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col("key"))) if cuts else F.lit(0)
     points = points.withColumn("t", tile.cast("int"))
-    pop = F.bit_count("h0") + F.bit_count("h1")
-    ends = points.groupBy("t").agg(F.min("n"), F.max("n"), F.min(pop), F.max(pop)).orderBy("t").collect()  # one row a tile
+    ends = points.groupBy("t").agg(F.min(pop), F.max(pop)).orderBy("t").collect()  # one row a tile
     pairs = []
     for i, x in enumerate(ends):
         for y in ends[i:]:
-            apart = max(x[3] - y[4], y[3] - x[4]) > radius or x[2] < y[1] * ratio - 1e-9
-            if not apart:
+            if max(x[1] - y[2], y[1] - x[2]) <= radius:
                 pairs.append((len(pairs), x[0], y[0]))
     if not pairs:
         return spark.createDataFrame([], f"a {points.schema['rep'].dataType.simpleString()}, b {points.schema['rep'].dataType.simpleString()}")
     plan = spark.createDataFrame(pairs, "pair int, i int, j int")
-    one = points.join(F.broadcast(plan), F.col("t") == F.col("i")).select("pair", "rep", "h0", "h1", "n", F.lit(0).alias("r"), (F.col("i") == F.col("j")).alias("same"))
-    two = points.join(F.broadcast(plan.where("i < j")), F.col("t") == F.col("j")).select("pair", "rep", "h0", "h1", "n", F.lit(1).alias("r"), F.lit(False).alias("same"))
+    one = points.join(F.broadcast(plan), F.col("t") == F.col("i")).select("pair", "rep", "h0", "h1", F.lit(0).alias("r"), (F.col("i") == F.col("j")).alias("same"))
+    two = points.join(F.broadcast(plan.where("i < j")), F.col("t") == F.col("j")).select("pair", "rep", "h0", "h1", F.lit(1).alias("r"), F.lit(False).alias("same"))
     kind = points.schema["rep"].dataType.simpleString()
-    return one.unionByName(two).groupBy("pair").applyInArrow(_tile_task(radius, ratio), f"a {kind}, b {kind}")
+    return one.unionByName(two).groupBy("pair").applyInArrow(_tile_task(radius), f"a {kind}, b {kind}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -192,14 +201,14 @@ def components(links: DataFrame) -> DataFrame:
         e = cut(star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct())
 
 
-def duplicates(docs: DataFrame, radius: int = RADIUS, ratio: float = RATIO, tiles: int = TILES, tile_rows: int = TILE_ROWS) -> DataFrame:
+def duplicates(docs: DataFrame, radius: int = RADIUS, tiles: int = TILES, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(doc_id, kept_doc_id): each document that a kept one of its group stands for."""
     prepare(docs.sparkSession)
     sig = cut(signatures(pick(docs, doc_id="doc_id", text="text")))
-    points = cut(sig.groupBy("h0", "h1", "n").agg(F.min("doc_id").alias("rep")))
-    roots = cut(components(edges(points, radius, ratio, tiles, tile_rows)))
-    named = points.join(small(roots, roots.count()), F.col("rep") == F.col("node"), "left").select("h0", "h1", "n", F.coalesce("root", "rep").alias("kept_doc_id"))
-    return sig.join(named, ["h0", "h1", "n"]).where("doc_id <> kept_doc_id").select("doc_id", "kept_doc_id").distinct()
+    points = cut(sig.groupBy("h0", "h1").agg(F.min("doc_id").alias("rep")))
+    roots = cut(components(edges(points, radius, tiles, tile_rows)))
+    named = points.join(small(roots, roots.count()), F.col("rep") == F.col("node"), "left").select("h0", "h1", F.coalesce("root", "rep").alias("kept_doc_id"))
+    return sig.join(named, ["h0", "h1"]).where("doc_id <> kept_doc_id").select("doc_id", "kept_doc_id").distinct()
 
 
 def keep(docs: DataFrame, **parameters) -> DataFrame:

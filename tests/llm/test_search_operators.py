@@ -157,6 +157,38 @@ def test_simhash_matches_brute_force(frame, odd_rows):
     assert {101, 102, 103} <= caught and not caught & set(range(60))
 
 
+def test_simhash_finds_copies_of_another_length(frame):
+    # a copy that lost a quarter of its text: within the radius, however the lengths differ
+    rng = random.Random(11)
+    rows = []
+    for k in range(40):
+        w = words(rng, 400)
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:300]))]
+    sig, _ = simhash.signatures_of([r[1] for r in rows])
+    within = {(2 * k + 1, 2 * k) for k in range(40) if int(np.bitwise_count(sig[2 * k] ^ sig[2 * k + 1]).sum()) <= simhash.RADIUS}
+    assert len(within) > 20
+    for tiles, tile_rows in ((16, 200_000), (4, 20)):
+        assert {tuple(r) for r in simhash.duplicates(frame(rows), tiles=tiles, tile_rows=tile_rows).collect()} == within
+
+
+def test_close_pairs_is_exact():
+    rng = np.random.default_rng(12)
+    sig = rng.integers(0, 2**63, (9000, 2), dtype=np.uint64)
+    for k in range(0, 9000, 3):  # copies 20 to 32 bits away, in one half or over both
+        sig[k + 1] = sig[k]
+        for b in rng.choice(128 if k % 2 else 64, rng.integers(20, 33), replace=False):
+            sig[k + 1, b // 64] ^= np.uint64(1 << int(b % 64))
+    sig = sig[np.argsort(simhash.populations(sig), kind="stable")]
+    want = set()
+    for i in range(len(sig)):
+        far = np.bitwise_count(sig[i] ^ sig[i + 1 :]).sum(axis=1)
+        want |= {(i, i + 1 + int(j)) for j in np.flatnonzero(far <= simhash.RADIUS)}
+    u, v = simhash.close_pairs(sig, sig, simhash.RADIUS, True)
+    assert len(u) == len(want) > 500 and set(zip(u.tolist(), v.tolist(), strict=True)) == want
+    u, v = simhash.close_pairs(sig[:5000], sig[5000:], simhash.RADIUS, False)
+    assert set(zip(u.tolist(), (v + 5000).tolist(), strict=True)) == {p for p in want if p[0] < 5000 <= p[1]}
+
+
 def test_signature_by_definition():
     text = "one two three two three four"
     sig, n = simhash.signatures_of([text, "", "word", "!"])
