@@ -6,10 +6,10 @@ first template that agrees with it in at least ``similarity`` of its words, whos
 else it founds a template.  Lines of a leaf are taken in a fixed order: the most frequent first, then by hash.
 
 A template recurs if at least ``min_docs`` documents hold lines of it; the lines of recurring templates are dropped
-from all documents.  A document of which such lines make up half or more of its words is a copy of others rather
-than a page with their boilerplate (what to do with it is up to document dedup): it doesn't count towards
-``min_docs``, so a page that is copied a thousand times doesn't lose its text, while a header on a thousand
-different pages is dropped everywhere, from the copies too.
+from all documents.  Of the documents of which such lines make up half or more of the words, those with the same
+set of lines (a line that has a template stands for it) are copies of one page and count once towards ``min_docs``
+(what to do with them is up to document dedup): so a page that is copied a thousand times doesn't lose its text,
+while a passage on ten different pages is dropped everywhere, whatever share of them it makes up.
 
 The tree is spread over the cluster by leaf.  Leaves with fewer than ``min_docs`` lines can't recur, so most text
 never leaves the scan: only the distinct lines of busy leaves are shuffled, and only hashes of the rest.
@@ -149,6 +149,16 @@ def _drain_task(similarity: float):
     return task
 
 
+def further_copies(lines: DataFrame, some: DataFrame, templates: DataFrame) -> DataFrame:
+    """(doc_id): of the documents in some (doc_id), all but the least of each set of lines."""
+    own = lines.join(small(some, some.count()), "doc_id", "left_semi").select("doc_id", "line").distinct()
+    keys = own.join(small(templates, templates.count()), "line", "left").select("doc_id", F.coalesce("template", "line").alias("key")).distinct()
+    of_set = [F.count("*").alias("lines"), F.bit_xor(F.xxhash64("key")).alias("mix"), F.sum(F.xxhash64("key", F.lit(1)).cast("decimal(38,0)")).alias("total")]
+    sets = cut(keys.groupBy("doc_id").agg(*of_set))
+    least = sets.groupBy("lines", "mix", "total").agg(F.min("doc_id").alias("doc_id"))
+    return sets.join(least, "doc_id", "left_anti").select("doc_id")
+
+
 def recurring(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS) -> DataFrame:
     """(line, template): hashes of the lines whose templates recur; docs has doc_id and text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -165,7 +175,7 @@ def recurring(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARIT
     held = cut(hot.join(small(templates, templates.count()), "line").groupBy("doc_id", "template").agg(F.sum("n").alias("n"), F.max("total").alias("total")))
     often = held.groupBy("template").count().where(F.col("count") >= min_docs).select("template")
     copies = held.join(often, "template", "left_semi").groupBy("doc_id").agg(F.sum("n").alias("n"), F.max("total").alias("total")).where("n * 2 >= total").select("doc_id")
-    pages = held.join(copies, "doc_id", "left_anti")
+    pages = held.join(further_copies(lines, cut(copies), templates), "doc_id", "left_anti")
     recur = pages.groupBy("template").count().where(F.col("count") >= min_docs).select("template")
     return templates.join(recur, "template", "left_semi").select("line", "template")
 

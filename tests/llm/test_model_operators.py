@@ -251,6 +251,18 @@ def test_line_dedup_matches_brute_force(frame, odd_rows):
     assert sorted(((r["doc_id"], r["text"]) for r in again.select("doc_id", "text").collect()), key=str) == got
 
 
+def test_line_dedup_of_pages_that_are_mostly_boilerplate(frame):
+    rng = random.Random(21)
+    line = lambda n: " ".join(words(rng, n))
+    shared, other, page = line(60), line(55), "\n".join(line(20) for _ in range(8))
+    rows = [(k, f"{line(12)}\n{shared}") for k in range(20)]  # own words: 1 in 6
+    rows += [(100 + k, f"{line(15 if k < 3 else 200)}\n{other}") for k in range(12)]  # 3 of 12 are short
+    rows += [(200 + k, page) for k in range(15)]  # copies of one page
+    out = {r["doc_id"]: r["text"] for r in linededup.clean(frame(rows)).collect()}
+    assert all(out[d] == t.split("\n")[0] for d, t in ((r[0], r[1]) for r in rows) if d < 200)
+    assert all(out[200 + k] == page for k in range(15))
+
+
 def test_line_dedup_empty_table(frame):
     assert linededup.clean(frame([])).count() == 0
 
