@@ -6,10 +6,12 @@ whole word sequence, each filter's maximum over all places is one feature, and a
 gives the score.  One coordinate of a bucket's embedding starts from how much likelier the bucket is in toxic
 training texts, which a maximum over hundreds of random words would take long to find out.
 
-Training happens on the driver, on a bounded sample: at most ``train_rows`` labelled documents of either class, in
-the order of a hash of their ids.  One third of them is held out of training; on these each language gets the
-threshold with the best F1, clean documents weighted up to their share of all labels.  A language with fewer than
-``least`` held-out toxic documents gets the threshold over all languages.
+Training happens on the driver, on a bounded sample: at most ``train_rows`` labelled documents of either class, drawn
+evenly by language in the order of a hash of their ids.  Of each language's part a third is held out of training, or
+``least`` documents if that is more and leaves half.  These and all labelled documents outside the sample are scored
+in one pass; on them each language gets the threshold with the best F1, clean documents weighted to their share of
+the language's labels.  What comes to the driver is counts by language, class and 1/256 of the score's logit.  A
+language with fewer than ``least`` toxic documents that were not trained on gets the threshold over all languages.
 
 Scoring reads every document in whole, in one pass without a shuffle.
 
@@ -24,9 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quern.llm import kernel as K
-from quern.llm.common import map_arrow, pick, prepare, texts_of
+from quern.llm.common import BROADCAST_ROWS, map_arrow, pick, prepare, small, texts_of
 
 BITS, DIM, WIDTHS, FILTERS = 17, 8, (1, 2, 3), 8
 BUCKETS = 1 << BITS
@@ -157,15 +160,15 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
     return Network(e, params, bias, dense[-2], float(dense[-1][0]))
 
 
-def threshold(scores: np.ndarray, toxic: np.ndarray, clean_weight: float) -> float:
-    """The score with the best F1, halfway to the next lower one."""
-    order = np.argsort(-scores, kind="stable")
-    s, hit = scores[order], toxic[order] == 1
-    right = np.cumsum(hit)
-    f1 = 2 * right / (right + np.cumsum(np.where(hit, 1.0, clean_weight)) + hit.sum())
-    f1[:-1][s[:-1] == s[1:]] = -1
-    best = int(np.argmax(f1))
-    return float((s[best] + s[best + 1]) / 2 if best + 1 < len(s) else s[best] / 2)
+def threshold(bins: np.ndarray, low: np.ndarray, high: np.ndarray, toxic: np.ndarray, counts: np.ndarray) -> float:
+    """The score with the best F1, halfway to the next lower one; of each row a bin of scores, its ends, class and weight."""
+    place = np.unique(-bins, return_inverse=True)[1]  # the highest scores first
+    least, most = np.full(place.max() + 1, np.inf), np.full(place.max() + 1, -np.inf)
+    np.minimum.at(least, place, low)
+    np.maximum.at(most, place, high)
+    right, wrong = (np.cumsum(np.bincount(place, np.where(toxic == c, counts, 0.0))) for c in (1, 0))
+    best = int(np.argmax(2 * right / (right + wrong + right[-1])))
+    return float((least[best] + most[best + 1]) / 2 if best + 1 < len(least) else least[best] / 2)
 
 
 class Classifier:
@@ -182,21 +185,55 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, least:
     prepare(spark)
     own = pick(docs, doc_id="doc_id", text="text", lang="lang").where("text is not null")
     known = pick(labels, doc_id="doc_id", toxic="toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    total = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}  # at most two rows
-    first = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows) for c in (0, 1)]
+    langs = own.where("doc_id is not null").select("doc_id", F.when(F.col("lang") == "", None).otherwise(F.col("lang")).alias("lang")).groupBy("doc_id").agg(F.min(F.coalesce("lang", F.lit("und"))).alias("lang"))
+    labelled = known.join(langs, "doc_id")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    turn = labelled.withColumn("turn", F.row_number().over(Window.partitionBy("toxic", "lang").orderBy(*order))).where(F.col("turn") <= train_rows)
+    first = [turn.where(F.col("toxic") == c).orderBy("turn", *order).limit(train_rows).select("doc_id", "toxic") for c in (0, 1)]
     chosen = F.broadcast(first[0].unionByName(first[1]))  # at most 2 * train_rows ids
-    rows = own.join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text", "lang").limit(2 * train_rows).toArrow()
-    texts, langs = rows["text"].to_pylist(), np.array([x or "und" for x in rows["lang"].to_pylist()], object)
-    toxic = rows["toxic"].to_numpy()
-    held = np.arange(len(texts)) % 3 == 2
-    if min(np.sum(toxic[~held] == c) for c in (0, 1)) == 0 or min(np.sum(toxic[held] == c) for c in (0, 1)) == 0:
+    rows = own.join(chosen, "doc_id").orderBy(*order, "text", "lang").limit(2 * train_rows).toArrow()
+    texts, toxic = rows["text"].to_pylist(), rows["toxic"].to_numpy()
+    groups: dict[tuple, dict] = {}  # ids by language and class, in order
+    for i, x, c in zip(rows["doc_id"].to_pylist(), rows["lang"].to_pylist(), toxic.tolist(), strict=True):
+        groups.setdefault((x or "und", c), {})[i] = None
+    taken = {i for ids in groups.values() for i in list(ids)[: max(len(ids) // 3, min(least, len(ids) // 2))]}
+    held = np.array([i in taken for i in rows["doc_id"].to_pylist()], bool)
+    if min(np.sum(toxic[~held] == c) for c in (0, 1)) == 0:
         return Classifier(None, {}, 1.0)
     network = train([t for t, h in zip(texts, held, strict=True) if not h], toxic[~held])
-    scores = network.scores([t for t, h in zip(texts, held, strict=True) if h])
-    langs, toxic = langs[held], toxic[held]
-    weight = max(1.0, total[0] / total[1]) / (np.sum(toxic == 0) / np.sum(toxic == 1))
-    limits = {x: threshold(scores[langs == x], toxic[langs == x], weight) for x in sorted(set(langs)) if np.sum(toxic[langs == x]) >= least}
-    return Classifier(network, limits, threshold(scores, toxic, weight))
+    trained = spark.createDataFrame(pa.table({"doc_id": rows["doc_id"].filter(pa.array(~held))})).distinct()  # at most 2 * train_rows ids
+    count = known.count()
+    some = own.join(small(known.select("doc_id"), count), "doc_id", "left_semi") if count <= BROADCAST_ROWS else own  # no text is shuffled
+    var = spark.sparkContext.broadcast(network)
+    kind = own.schema["doc_id"].dataType.simpleString()
+    marks = map_arrow(some, _bins_task(var), f"doc_id {kind}, lang string, score double, bin long").join(small(known, count), "doc_id")
+    marks = marks.join(F.broadcast(trained.withColumn("fitted", F.lit(1))), "doc_id", "left")
+    table = marks.groupBy("lang", "toxic", "bin", F.col("fitted").isNull().alias("held")).agg(F.min("score").alias("low"), F.max("score").alias("high"), F.count("*").alias("n")).toArrow()
+    lang, (c, bins, low, high, n, free) = np.array(table["lang"].to_pylist(), object), (table[k].to_numpy() for k in ("toxic", "bin", "low", "high", "n", "held"))
+
+    def limit(own: np.ndarray) -> float:
+        """The threshold of the held-out rows among own, clean ones weighted to the share of clean labels in own."""
+        part = own & free
+        clean, hit = (np.sum(n[part & (c == k)]) for k in (0, 1))
+        weight = max(1.0, np.sum(n[own & (c == 0)]) / np.sum(n[own & (c == 1)])) * hit / clean if clean else 1.0
+        return threshold(bins[part], low[part], high[part], c[part], np.where(c[part] == 0, n[part] * weight, n[part]))
+
+    if min(np.sum(n[free & (c == k)]) for k in (0, 1)) == 0:
+        return Classifier(None, {}, 1.0)
+    limits = {x: limit(lang == x) for x in sorted(set(lang)) if np.sum(n[free & (c == 1) & (lang == x)]) >= least}
+    return Classifier(network, limits, limit(np.ones(len(n), bool)))
+
+
+def _bins_task(var):
+    def task(batches):
+        for batch in batches:
+            scores = var.value.scores(texts_of(batch))
+            inside = np.clip(scores, 1e-18, 1 - 1e-16)
+            bins = np.floor(256 * (np.log(inside) - np.log1p(-inside))).astype(np.int64)
+            langs = [x or "und" for x in batch.column(batch.schema.get_field_index("lang")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(langs, pa.string()), pa.array(scores), pa.array(bins)], ["doc_id", "lang", "score", "bin"])
+
+    return task
 
 
 def _task(var):

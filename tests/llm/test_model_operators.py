@@ -130,6 +130,31 @@ def test_toxicity_held_out(spark, frame):
     assert toxicity.scored(docs, none).where("toxicity > 0").count() == 0
 
 
+def test_toxicity_rare_languages_get_thresholds_of_their_own(spark, frame):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for k in range(1500):  # of the toxic labels 1 in 25 is of a document in "sw"
+        w, lang, toxic = words(rng, rng.randint(20, 60)), "sw" if k % 25 == 0 else "en", k % 2 == 0 or k % 25 == 0
+        if toxic:
+            w.insert(rng.randrange(len(w)), rng.choice(["grubworm", "slimeball"]))
+        rows.append((k, " ".join(w), lang))
+        labels.append((k, int(toxic)))
+    labels += [(10_000 + k, 1) for k in range(3000)]  # of no document
+    rows += [(5000 + k, " ".join(words(rng, 30)), "sw") for k in range(30)]
+    labels += [(5000 + k, 0) for k in range(30)]
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(frame(rows), known, train_rows=200)
+    assert set(model.thresholds) == {"en", "sw"} and model.network is not None
+
+
+def test_threshold_of_bins_equals_that_of_scores():
+    rng = np.random.default_rng(3)
+    scores, toxic = np.round(rng.random(400), 2), rng.random(400) < 0.4
+    best = max((2 * np.sum(toxic & (scores >= x)) / (np.sum(toxic) + np.sum(scores >= x)), x) for x in np.unique(scores))
+    got = toxicity.threshold((scores * 100).round().astype(int), scores, scores, toxic.astype(int), np.ones(400))
+    assert 2 * np.sum(toxic & (scores >= got)) / (np.sum(toxic) + np.sum(scores >= got)) == pytest.approx(best[0])
+
+
 def test_network_scores_equal_definition():
     rng = np.random.default_rng(1)
     net = toxicity.Network(
