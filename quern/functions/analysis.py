@@ -40,7 +40,7 @@ def _fold_char(c: str) -> str:
 
 
 _SINGLE, _SEVERAL = {}, {}
-for _cp in [*range(0xA0, 0x2FFF), *range(0xA640, 0xABFF), *range(0xFB00, 0xFFFF)]:
+for _cp in [*range(0xA0, 0xAC00), *range(0xF900, 0xFFFF)]:
     _c = chr(_cp)
     if unicodedata.category(_c) not in ("Mn", "Cn", "Co", "Cs"):
         _f = _fold_char(_c)
@@ -107,6 +107,15 @@ def arabic_stems(s: pd.Series) -> pd.Series:
     return s.map(arabic.stem_text, na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def arabic_stems_if_any(s: pd.Series) -> pd.Series:
+    return s.map(_stem_arabic, na_action="ignore")
+
+
+def _stem_arabic(text: str) -> str:
+    return arabic.stem_text(text) if regex.search(r"\p{Arabic}", text) else text
+
+
 def stems(locale: str):
     @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
@@ -115,11 +124,11 @@ def stems(locale: str):
     return run
 
 
-def analyze(c: Column, analyzer: str = "unicode", locales: tuple[str, ...] = (), dedupe: bool = False, locale: str = "en", has_arabic: bool = False) -> Column:
+def analyze(c: Column, analyzer: str = "unicode", locales: tuple[str, ...] = (), dedupe: bool = False, locale: str = "en") -> Column:
     """A text as it is indexed.
 
     analyzer: ``unicode``, ``fallback`` (transliterated to ASCII, no Arabic), ``stemming`` or ``identity``.
-    ``has_arabic`` adds the Arabic stemmer, the one step that needs Python; without it the plan stays in the JVM.
+    Texts with Arabic letters are stemmed row by row, as queries are; this is the one step that needs Python.
     """
     if analyzer == "identity":
         return c
@@ -127,8 +136,8 @@ def analyze(c: Column, analyzer: str = "unicode", locales: tuple[str, ...] = (),
     c = separate_cjk(fold_accents(strip_html(c)))
     if analyzer == "fallback":
         c = transliterate(c)
-    elif has_arabic:
-        c = arabic_stems(c)
+    else:
+        c = arabic_stems_if_any(c)
     c = F.lower(c)
     if locales:
         c = remove_stopwords(squish(c), locales, dedupe)
@@ -206,8 +215,8 @@ def analyze_py(text: str, analyzer: str = "unicode", locale: str = "en") -> str:
     text = _PY_SEPARATED.sub(r"\1 ", fold_py(re.sub("<[^>]*>", "", text)))
     if analyzer == "fallback":
         text = transliterate_py(text)
-    elif regex.search(r"\p{Arabic}", text):
-        text = arabic.stem_text(text)
+    else:
+        text = _stem_arabic(text)
     text = re.sub(rf"(\S{{{LONGEST}}})\S+", r"\1", text.lower())
     text = re.sub(r"\s+", " ", text).strip()
     return stem.stem_text(text, locale) if analyzer == "stemming" else text

@@ -54,13 +54,13 @@ def title_of(spec: SearchableSpec) -> Column:
     return F.coalesce(*[F.when(F.trim(F.col(f"`{n}`")) != "", F.col(f"`{n}`")) for n in order], F.lit(""))
 
 
-def rows(records: DataFrame, spec: SearchableSpec, config: Config = Config(), tenant: str = "default", synced_at: Column | None = None, has_arabic: bool = False) -> DataFrame:
+def rows(records: DataFrame, spec: SearchableSpec, config: Config = Config(), tenant: str = "default", synced_at: Column | None = None) -> DataFrame:
     """The index rows of records."""
     docs = document(records, spec)
     weight = lambda c: min(max(c.weight, 1), config.max_weight)
 
     def analysed(c: ColumnSpec) -> Column:
-        return analysis.analyze(F.col(f"`{c.name}`"), config.analyzer, config.stopword_locales, config.dedupe_on_stopwords, c.locale, has_arabic)
+        return analysis.analyze(F.col(f"`{c.name}`"), config.analyzer, config.stopword_locales, config.dedupe_on_stopwords, c.locale)
 
     staged = once(docs.select("doc_id", title_of(spec).alias("title"), *[analysed(c).alias(f"a{k}") for k, c in enumerate(spec.columns)]))
     texts, toks = [], []
@@ -238,9 +238,9 @@ class IndexStore:
         tables = {t: self.spark.read.parquet(f"{base}/{t}") for t in self.TABLES}
         return Index(tables.pop("index"), spec, self.config, tenant, source, tables)
 
-    def rebuild(self, records: DataFrame, spec: SearchableSpec, tenant: str = "default", synced_at: str | None = None, has_arabic: bool = False) -> int:
+    def rebuild(self, records: DataFrame, spec: SearchableSpec, tenant: str = "default", synced_at: str | None = None) -> int:
         at = F.lit(synced_at).cast("timestamp") if synced_at else F.current_timestamp()
-        return self.write(rows(records, spec, self.config, tenant, at, has_arabic), spec, tenant, synced_at)
+        return self.write(rows(records, spec, self.config, tenant, at), spec, tenant, synced_at)
 
     def upsert(self, records: DataFrame, spec: SearchableSpec, tenant: str = "default", synced_at: str | None = None) -> int:
         """The index with these records added or replaced; those that shouldn't be indexed any more are removed."""

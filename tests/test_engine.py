@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from quern.functions import analysis
 from quern.operators.index import Index, IndexStore
 from quern.operators.search import search
 from quern.spec import Config, Relation, SearchableSpec
@@ -78,6 +79,17 @@ def test_scripts_and_accents(spark):
         assert ids(search(index).query(query)) == expected, query
 
 
+def test_voiced_kana_and_arabic_are_analysed_as_queries_are(spark):
+    texts = ["\u30ac\u30a4\u30c9 \u304c\u304e", "\u0627\u0644\u0643\u062a\u0627\u0628 \u0648\u0627\u0644\u0645\u0643\u062a\u0628\u0627\u062a", "plain  words"]
+    data = [(i, text, "") for i, text in enumerate(texts, 1)]
+    frame = spark.createDataFrame(data, "id long, t string, u string")
+    got = [r[0] for r in frame.orderBy("id").select(analysis.analyze(F.col("t"))).collect()]
+    assert got == [analysis.analyze_py(t) for t in texts]
+    index = Index.over(posts(spark, data), SPEC)
+    assert ids(search(index).query("\u30ac\u30a4\u30c9")) == [1]
+    assert ids(search(index).query("\u0627\u0644\u0643\u062a\u0627\u0628")) == [2]
+
+
 def test_an_empty_table_has_no_hits(spark):
     index = Index.over(posts(spark, []), SPEC)
     assert search(index).query("steam").get().collect() == []
