@@ -1,8 +1,7 @@
-"""Spark helpers of the operators: shared folder, checked broadcasts, Arrow batches."""
+"""Spark helpers of the operators: shared folder, checked broadcasts, Arrow batches, row keys."""
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import let_workers_import
+from quern.session import let_workers_import, shared_folder
 
 #: Rows of an id table that is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -23,16 +22,34 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """What each operator needs of a session: importable workers, bounded Arrow batches, a shared checkpoint folder."""
+    """What each operator needs of a session: importable workers, bounded Arrow batches, a shared checkpoint folder.
+
+    What the operators write there goes when the session ends.
+    """
     let_workers_import(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if sc.getCheckpointDir() is None:
-        # On a cluster the folder comes from the session; the fallback serves local sessions, where all is one machine.
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor shares")
-        sc.setCheckpointDir(folder or f"file:///tmp/quern-checkpoint-{os.getuid()}")
+        sc.setCheckpointDir(shared_folder(spark))
+        fs, path = filesystem(spark, sc.getCheckpointDir())  # a folder of this session's own
+        fs.deleteOnExit(path)
+
+
+def filesystem(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as its own."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    prepare(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{new_name(name)}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = filesystem(spark, path)
+    fs.delete(at, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -73,3 +90,17 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     name = new_name("id")
     gone = cut(ids.toDF(name).where(F.col(name).isNotNull()).distinct())
     return docs.join(small(gone, gone.count()), column(docs, "doc_id") == F.col(name), "left_anti")
+
+
+def row_key(*columns: Column) -> tuple[Column, Column]:
+    """128 bits of the values of some columns, nulls told apart: a name for rows that have none of their own."""
+    parts = [x for c in columns for x in (c.isNull(), c)]
+    return F.xxhash64(F.lit(0), *parts), F.xxhash64(F.lit(1), *parts)
+
+
+def without_rows(docs: DataFrame, names: tuple[str, ...], gone: DataFrame) -> DataFrame:
+    """docs without the rows whose values of the named columns have a key (row_key) that is in the two columns of gone."""
+    keys = [new_name("key"), new_name("key")]
+    gone = cut(gone.toDF(*keys).distinct())
+    own = row_key(*[column(docs, n) for n in names])
+    return docs.join(small(gone, gone.count()), (own[0] == F.col(keys[0])) & (own[1] == F.col(keys[1])), "left_anti")

@@ -20,16 +20,20 @@ _P = 0x9E3779B97F4A7C15
 _STATE: dict[str, np.ndarray] = {}
 
 
-def fold_table() -> np.ndarray:
-    """For each code point of the basic plane: itself lower-cased if it is a letter, digit or mark, else 0."""
-    if "fold" not in _STATE:
-        table = np.zeros(1 << 16, np.uint32)
-        for cp in range(1 << 16):
+def fold_table(first: int = 0, last: int = 1 << 16) -> np.ndarray:
+    """For each of a range of code points: itself lower-cased if it is a letter, digit or mark, else 0.
+
+    One character becomes one: of the only longer form, that of the dotted capital I, the i stays.
+    """
+    name = f"fold{first}"
+    if name not in _STATE:
+        table = np.zeros(last - first, np.uint32)
+        for cp in range(first, last):
             c = chr(cp)
             if unicodedata.category(c)[0] in "LNM":
-                table[cp] = ord(c.lower()[0])
-        _STATE["fold"] = table
-    return _STATE["fold"]
+                table[cp - first] = ord(c.lower()[0])
+        _STATE[name] = table
+    return _STATE[name]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -81,7 +85,7 @@ def fold(cps: np.ndarray) -> np.ndarray:
     if len(cps) and cps.max() >= 1 << 16:
         out = table[np.minimum(cps, 0xFFFF)]
         high = cps >= 1 << 16
-        out[high] = cps[high]
+        out[high] = fold_table(1 << 16, sys.maxunicode + 1)[cps[high] - (1 << 16)]
         return out
     return table[cps]
 
