@@ -16,7 +16,9 @@ strings go to the workers in groups of at most ``group`` items, one pass over th
 memory a worker needs doesn't depend on the size of the benchmark.
 
 Defined cases: null and empty texts and texts without words hold nothing; items without a word match nothing; items
-or documents that repeat are reported row by row; a row with a null doc_id or item_id is reported with the null.
+or documents that repeat are reported row by row; a row with a null doc_id or item_id is reported with the null; in
+``keep`` each row stays or goes by its own text, whatever its doc_id; a text of any length is searched in whole; only
+doc_id and text of the documents and item_id and text of the benchmark are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import kernel as K
-from quern.llm.common import cut, map_arrow, pick, prepare, texts_of, without
+from quern.llm.common import cut, map_arrow, pick, prepare, texts_of
 
 WINDOW, GROUP = 13, 20_000
 _BLOCK, _STRETCH, _BITS = 8, 512, 21
@@ -79,10 +81,9 @@ class Searcher:
             if size > 0:
                 for a, b in zip(gaps[: len(gaps) - size], gaps[size:], strict=True):
                     strings.setdefault(chars[a : b + 1].tobytes(), []).append(i)
-        # strings too short for a block are looked for with the blocks' places shortened to one word's
+        # strings too short for a block are looked for one by one
         self.strings = [np.frombuffer(s, np.uint32) for s in strings]
         self.items = [sorted(set(v)) for v in strings.values()]
-        self.pad = max(0, _BLOCK - min(map(len, self.strings), default=_BLOCK))
         self.tiny = [k for k, s in enumerate(self.strings) if len(s) < _BLOCK]
         self.length = m = min((len(s) for s in self.strings if len(s) >= _BLOCK), default=0)
         if not m:
@@ -151,7 +152,7 @@ class Searcher:
 def search(searcher: Searcher, texts: list[str]) -> list[tuple[int, int, int, int]]:
     """(text, item, windows found, first of their words in the text) for each text and item with an occurrence."""
     out = []
-    for a, b in K.slices(texts, 1 << 20):
+    for a, b in K.slices(texts):
         cps, bounds = K.code_points(texts[a:b])
         chars, place = stream(cps)
         start, string = searcher.find(chars)
@@ -189,36 +190,61 @@ def _task(var):
     return task
 
 
+def _keep_task(var, names):
+    def task(batches):
+        searcher, _ = var.value
+        for batch in batches:
+            stays = np.ones(batch.num_rows, bool)
+            stays[[f[0] for f in search(searcher, texts_of(batch))]] = False
+            yield batch.select(names).filter(pa.array(stays))
+
+    return task
+
+
+def _searchers(items: DataFrame, window: int, group: int):
+    """Broadcast test strings, group by group, with the ids of their items."""
+    spark = items.sparkSession
+    groups = max(1, -(-items.count() // group))
+    for k in range(groups):
+        own = items if groups == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == k)
+        table = own.toArrow()
+        searcher = Searcher([t or "" for t in table["text"].to_pylist()], window)
+        yield spark.sparkContext.broadcast((searcher, table["item_id"].combine_chunks())), k == groups - 1
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
     """(doc_id, item_id, hits, first_word) for each document that holds ``window`` words of an item in a row.
 
     hits: occurrences of the item's windows; first_word: where the first of them begins, in words from 0.
     """
-    spark = docs.sparkSession
-    prepare(spark)
+    prepare(docs.sparkSession)
     docs = pick(docs, doc_id="doc_id", text="text").where("text is not null")
     items = pick(benchmark, item_id="item_id", text="text").where("text is not null")
     kinds = [t.simpleString() for t in (docs.schema["doc_id"].dataType, items.schema["item_id"].dataType)]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, hits long, first_word long"
-    groups = max(1, -(-items.count() // group))
     found = None
-    for k in range(groups):
-        own = items if groups == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == k)
-        table = own.toArrow()
-        searcher = Searcher([t or "" for t in table["text"].to_pylist()], window)
-        var = spark.sparkContext.broadcast((searcher, table["item_id"].combine_chunks()))
+    for var, last in _searchers(items, window, group):
         part = map_arrow(docs, _task(var), schema)
-        if groups > 1:
+        if not last or found is not None:
             part = cut(part)
             var.unpersist()
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def keep(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """docs without the documents that hold a test string (all their rows, if a doc_id repeats)."""
-    return without(docs, leaks(docs, benchmark, **parameters).select("doc_id"))
+def keep(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
+    """docs without the rows that hold a test string: one pass over them for each group of items, and no shuffle."""
+    prepare(docs.sparkSession)
+    items = pick(benchmark, item_id="item_id", text="text").where("text is not null")
+    out = docs
+    for var, last in _searchers(items, window, group):
+        out = out.mapInArrow(_keep_task(var, docs.columns), docs.schema)
+        if not last:
+            out = cut(out)
+            var.unpersist()
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item's words, with the item, over both whole tables."""
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
