@@ -6,18 +6,20 @@
   some 14 of 128 bits away and unrelated texts 64, which leaves room for a radius between; of 64 bits, 7 and 32
   overlap once the pairs of documents run into the billions.
 * **Comparison.**  Two documents are near duplicates if their signatures differ in at most ``radius`` bits, however
-  long they are.  Documents with equal signatures are one point.  The points are sorted by population count and cut
-  into tiles; every pair of tiles is one group of a Spark task, which compares sub-tiles by exclusive-or and bit
-  counts in numpy.  A pair of (sub-)tiles is skipped only if its population counts differ by more than the radius,
-  which no pair within the radius does; and of the rest, both halves of the signatures are counted in full only
-  where one half differs in at most half the radius, as in any pair within it.  So the search is exact, and its
-  work grows with the square of the number of distinct signatures.
+  long they are.  Documents with equal signatures are one point.  Tiles are ranges of population counts; a count
+  that has more points than a tile holds fills several, dealt by hash.  Every pair of tiles is one group of a Spark
+  task, which compares sub-tiles by exclusive-or and bit counts in numpy.  A pair of (sub-)tiles is skipped only if
+  its population counts differ by more than the radius, which no pair within the radius does.  So the search is
+  exact, and its work grows with the square of the number of distinct signatures: unrelated texts differ in some 64
+  bits, but in their counts by 6 on average, so that skips are few (the README says how many).
 * **Groups.**  Each task passes on a spanning forest of the pairs it found, not the pairs; the connected components
   over all tasks are groups, found by alternating large-star and small-star steps, each written to the shared
   folder.  The document with the smallest doc_id of each group stays.
 
 Defined cases: texts without a word (null, empty, only symbols) have no signature and are never duplicates; rows
-with a null doc_id can't be named and stay; rows that repeat a doc_id are one document, and stay or go together.
+with a null doc_id can't be named and stay; of rows that share a doc_id each has the group of its own text: it goes if
+that group has a lesser doc_id, so that no text is lost; rows that repeat both stay or go together; a text of any length is read in whole; a bit with as many votes for as against
+is 0; an empty table has no groups; columns besides doc_id and text are passed on as they are.
 """
 
 from __future__ import annotations
@@ -30,13 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import kernel as K
-from quern.llm.common import cut, map_arrow, pick, prepare, small, texts_of, without
+from quern.llm.common import column, cut, map_arrow, pick, prepare, row_key, small, texts_of, without_rows
 
 RADIUS = 26
-#: Least ratio of the lengths of two near duplicates: none, the radius alone decides.
-RATIO = 0.0
-#: At least this many tiles, and more once a tile would have more than TILE_ROWS points.
-TILES, TILE_ROWS = 16, 200_000
+#: At least this many tiles, and more once a tile would have more than TILE_ROWS points (24 bytes each).
+TILES, TILE_ROWS = 16, 500_000
 _U = np.uint64
 
 
@@ -72,17 +72,22 @@ def signatures_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return sig, count
 
 
-def _signature_task(batches):
-    for batch in batches:
-        sig, n = signatures_of(texts_of(batch))
-        ids = batch.column(batch.schema.get_field_index("doc_id"))
-        out = pa.RecordBatch.from_arrays([ids, pa.array(sig[:, 0].view(np.int64)), pa.array(sig[:, 1].view(np.int64))], ["doc_id", "h0", "h1"])
-        yield out.filter(pa.array(n > 0))
+def _signature_task(names: list[str]):
+    def task(batches):
+        for batch in batches:
+            sig, n = signatures_of(texts_of(batch))
+            own = [batch.column(batch.schema.get_field_index(c)) for c in names]
+            out = pa.RecordBatch.from_arrays([*own, pa.array(sig[:, 0].view(np.int64)), pa.array(sig[:, 1].view(np.int64))], [*names, "h0", "h1"])
+            yield out.filter(pa.array(n > 0))
+
+    return task
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, h0, h1) for the rows of docs (doc_id, text) that have a doc_id and a word."""
-    return map_arrow(docs.where("doc_id is not null and text is not null").select("doc_id", "text"), _signature_task, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h0 long, h1 long")
+    """docs without their text, with h0 and h1, for the rows that have a doc_id and a word."""
+    names = [c for c in docs.columns if c != "text"]
+    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names)
+    return map_arrow(docs.where("doc_id is not null and text is not null"), _signature_task(names), f"{schema}, h0 long, h1 long")
 
 
 def populations(sig: np.ndarray) -> np.ndarray:
@@ -140,8 +145,8 @@ def forest(u: np.ndarray, v: np.ndarray, size: int) -> np.ndarray:
 
 def _tile_task(radius: int):
     def task(table: pa.Table) -> pa.Table:
-        rep = table["rep"].to_numpy()
-        order = np.argsort(rep, kind="stable")  # a node's label is then the least doc_id
+        rep = table["node"].to_numpy()
+        order = np.argsort(rep, kind="stable")  # a node's label is then the least
         right = table["r"].to_numpy()[order] == 1
         sig = np.stack([table["h0"].to_numpy()[order], table["h1"].to_numpy()[order]], axis=1).view(_U)
         rep = rep[order]
@@ -158,30 +163,49 @@ def _tile_task(radius: int):
     return task
 
 
+def tiling(counts: dict[int, int], tiles: int, tile_rows: int) -> tuple[list[int], list[int], list[tuple[int, int]]]:
+    """For each population count its first tile and how many it has; of each tile its least and largest count."""
+    total = sum(counts.values())
+    target = -(-total // max(1, min(max(tiles, math.ceil(total / tile_rows)), math.ceil(total / 256))))
+    first, many, ends, room = [0] * 129, [1] * 129, [], 0
+    for p in range(129):
+        n = counts.get(p, 0)
+        if not n:
+            continue
+        if n > target:
+            many[p], room = -(-n // target), 0
+            first[p] = len(ends)
+            ends += [(p, p)] * many[p]
+            continue
+        if n > room:
+            ends.append((p, p))
+            room = target
+        first[p] = len(ends) - 1
+        ends[-1] = (ends[-1][0], p)
+        room -= n
+    return first, many, ends
+
+
 def edges(points: DataFrame, radius: int = RADIUS, tiles: int = TILES, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(a, b), a > b: a spanning forest, task by task, of all near-duplicate pairs of points (rep, h0, h1)."""
+    """(a, b), a > b: a spanning forest, task by task, of all near-duplicate pairs of points (node, h0, h1)."""
     spark = points.sparkSession
-    total = points.count()
-    g = max(1, min(max(tiles, math.ceil(total / tile_rows)), math.ceil(total / 256)))
     pop = F.bit_count("h0") + F.bit_count("h1")
-    # points of one population count are many: a hash spreads them over tiles
-    points = points.withColumn("key", pop * 65536 + F.pmod(F.xxhash64("h0", "h1"), F.lit(65536)))
-    cuts = sorted(set(points.approxQuantile("key", [k / g for k in range(1, g)], 1 / (8 * g)))) if g > 1 and total else []
-    tile = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col("key"))) if cuts else F.lit(0)
-    points = points.withColumn("t", tile.cast("int"))
-    ends = points.groupBy("t").agg(F.min(pop), F.max(pop)).orderBy("t").collect()  # one row a tile
-    pairs = []
-    for i, x in enumerate(ends):
-        for y in ends[i:]:
-            if max(x[1] - y[2], y[1] - x[2]) <= radius:
-                pairs.append((len(pairs), x[0], y[0]))
-    if not pairs:
-        return spark.createDataFrame([], f"a {points.schema['rep'].dataType.simpleString()}, b {points.schema['rep'].dataType.simpleString()}")
-    plan = spark.createDataFrame(pairs, "pair int, i int, j int")
-    one = points.join(F.broadcast(plan), F.col("t") == F.col("i")).select("pair", "rep", "h0", "h1", F.lit(0).alias("r"), (F.col("i") == F.col("j")).alias("same"))
-    two = points.join(F.broadcast(plan.where("i < j")), F.col("t") == F.col("j")).select("pair", "rep", "h0", "h1", F.lit(1).alias("r"), F.lit(False).alias("same"))
-    kind = points.schema["rep"].dataType.simpleString()
-    return one.unionByName(two).groupBy("pair").applyInArrow(_tile_task(radius), f"a {kind}, b {kind}")
+    counts = {r["pop"]: r["count"] for r in points.groupBy(pop.alias("pop")).count().collect()}  # at most 129 rows
+    first, many, ends = tiling(counts, tiles, tile_rows)
+    if not ends:
+        return spark.createDataFrame([], "a long, b long")
+    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), pop + 1)
+    points = points.withColumn("t", (of(first) + F.pmod(F.xxhash64("h0", "h1"), of(many))).cast("int"))
+    last = len(ends) - 1
+    bounds = spark.createDataFrame([(t, *x) for t, x in enumerate(ends)], "t int, lo int, hi int")  # a row a tile
+    right = bounds.toDF("j", "lo_j", "hi_j")
+    pairs = bounds.withColumnRenamed("t", "i").withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(last)))).join(F.broadcast(right), "j")
+    near = F.greatest(F.col("lo") - F.col("hi_j"), F.col("lo_j") - F.col("hi")) <= radius
+    plan = cut(pairs.where(near).select((F.col("i").cast("long") * len(ends) + F.col("j")).alias("pair"), "i", "j"))
+    n = plan.count()
+    one = points.join(small(plan, n), F.col("t") == F.col("i")).select("pair", "node", "h0", "h1", F.lit(0).alias("r"), (F.col("i") == F.col("j")).alias("same"))
+    two = points.join(small(plan.where("i < j"), n), F.col("t") == F.col("j")).select("pair", "node", "h0", "h1", F.lit(1).alias("r"), F.lit(False).alias("same"))
+    return one.unionByName(two).groupBy("pair").applyInArrow(_tile_task(radius), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -201,20 +225,36 @@ def components(links: DataFrame) -> DataFrame:
         e = cut(star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct())
 
 
+def _duplicates(own: DataFrame, radius: int, tiles: int, tile_rows: int) -> DataFrame:
+    """own without text, with kept_doc_id, for the rows that a document of a lesser id stands for."""
+    sig = cut(signatures(own))
+    points = sig.groupBy("h0", "h1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    points = cut(points.withColumn("node", F.monotonically_increasing_id()))
+    roots = cut(components(edges(points, radius, tiles, tile_rows)))
+    every = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    n = roots.count()
+    grouped = points.join(small(every, 2 * n), "node", "left")
+    least = grouped.where("root is not null").groupBy("root").agg(F.min("rep").alias("least"))
+    named = grouped.where("root is not null or n > 1").join(small(least, n), "root", "left").select("h0", "h1", F.coalesce("least", "rep").alias("kept_doc_id"))
+    named = cut(named)
+    return sig.join(small(named, named.count()), ["h0", "h1"]).where("doc_id <> kept_doc_id").drop("h0", "h1")
+
+
 def duplicates(docs: DataFrame, radius: int = RADIUS, tiles: int = TILES, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(doc_id, kept_doc_id): each document that a kept one of its group stands for."""
     prepare(docs.sparkSession)
-    sig = cut(signatures(pick(docs, doc_id="doc_id", text="text")))
-    points = cut(sig.groupBy("h0", "h1").agg(F.min("doc_id").alias("rep")))
-    roots = cut(components(edges(points, radius, tiles, tile_rows)))
-    named = points.join(small(roots, roots.count()), F.col("rep") == F.col("node"), "left").select("h0", "h1", F.coalesce("root", "rep").alias("kept_doc_id"))
-    return sig.join(named, ["h0", "h1"]).where("doc_id <> kept_doc_id").select("doc_id", "kept_doc_id").distinct()
+    found = _duplicates(pick(docs, doc_id="doc_id", text="text"), radius, tiles, tile_rows)
+    return found.select("doc_id", "kept_doc_id").distinct()
 
 
-def keep(docs: DataFrame, **parameters) -> DataFrame:
-    """docs with one document of each group."""
-    return without(docs, duplicates(docs, **parameters).select("doc_id"))
+def keep(docs: DataFrame, radius: int = RADIUS, tiles: int = TILES, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """docs with one document of each group, the one of the least doc_id."""
+    prepare(docs.sparkSession)
+    keys = row_key(column(docs, "doc_id"), column(docs, "text"))
+    own = docs.select(column(docs, "doc_id").alias("doc_id"), column(docs, "text").alias("text"), keys[0].alias("k0"), keys[1].alias("k1"))
+    return without_rows(docs, ("doc_id", "text"), _duplicates(own, radius, tiles, tile_rows).select("k0", "k1"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that another one of its group stands for, with that one's id, which names the group."""
     return duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
