@@ -3,7 +3,9 @@
 Lines are parsed like log messages (a Drain tree of fixed depth): a line goes down the tree by its number of words
 and its first ``depth`` words, in which a word with a digit counts as a variable, to a leaf.  There it joins the
 first template that agrees with it in at least ``similarity`` of its words, whose differing words become variables;
-else it founds a template.  Lines of a leaf are taken in a fixed order: the most frequent first, then by hash.
+else it founds a template.  Lines of a leaf are taken in a fixed order: the most frequent first, then by hash.  A line
+isn't held against every template of its leaf: of the parts into which its words are divided, one more than words may
+differ, at least one is the same in a template that it joins, and templates are looked up by their parts.
 
 A template recurs if at least ``min_docs`` documents hold lines of it; the lines of recurring templates are dropped
 from all documents.  Of the documents of which such lines make up half or more of the words, those with the same
@@ -12,26 +14,33 @@ set of lines (a line that has a template stands for it) are copies of one page a
 while a passage on ten different pages is dropped everywhere, whatever share of them it makes up.
 
 The tree is spread over the cluster by leaf.  Leaves with fewer than ``min_docs`` lines can't recur, so most text
-never leaves the scan: only the distinct lines of busy leaves are shuffled, and only hashes of the rest.
+never leaves the scan: only the distinct lines of busy leaves are shuffled, and only hashes of the rest.  A leaf of
+more than ``leaf_lines`` distinct lines is divided by the next word, and so on while there are words: a word that at
+least a hundredth of ``leaf_lines`` of its lines have (and ``min_docs``) leads to a leaf of its own, all rarer ones,
+which are likely variable, to one leaf together, as in a tree whose nodes have a bounded number of children.
 
-Defined cases: null text stays null, empty text stays empty; lines without a word are kept; a line that repeats
+Defined cases: a text of any length is parsed in whole; an empty table stays empty; columns besides doc_id and text are
+passed on as they are; null text stays null, empty text stays empty; lines without a word are kept; a line that repeats
 within a document counts once; rows that repeat a doc_id count as one document; rows with a null doc_id don't count
 towards ``min_docs`` but lose their recurring lines like others.  A document may end up with an empty text.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm import arrays
 from quern.llm import kernel as K
-from quern.llm.common import cut, map_arrow, pick, prepare, small, texts_of
+from quern.llm.common import cut, delete, map_arrow, own_folder, pick, prepare, small, texts_of
 
-DEPTH, SIMILARITY, MIN_DOCS = 3, 0.75, 10
-#: Hashes of recurring lines that go to the workers at once; more go in further passes.
-HASHES = 4_000_000
+DEPTH, SIMILARITY, MIN_DOCS, LEAF_LINES = 3, 0.75, 10, 200_000
+#: Leaves of up to this many distinct lines have their templates compared one by one.
+FEW_LINES = 48
 _U = np.uint64
 _VARIABLE = _U(0x2A2A2A2A2A2A2A2B)
 
@@ -63,7 +72,7 @@ def _lines_task(depth: int):
                 total = np.bincount(x["doc"], weights=x["n"], minlength=b - a).astype(np.int64)
                 some = np.flatnonzero(x["n"] > 0)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(a + x["doc"][some])), pa.array(x["leaf"][some].view(np.int64)), pa.array(x["line"][some].view(np.int64)), pa.array(x["n"][some]), pa.array(total[x["doc"][some]])],
+                    [ids.take(pa.array(a + x["doc"][some])), pa.array(x["leaf"][some].view(np.int64)), pa.array(x["line"][some].view(np.int64)), pa.array(x["n"][some].astype(np.int32)), pa.array(total[x["doc"][some]].astype(np.int32))],
                     ["doc_id", "leaf", "line", "n", "total"],
                 )
 
@@ -93,22 +102,57 @@ def drain(tokens: np.ndarray, similarity: float) -> np.ndarray:
     templates = np.empty_like(tokens)
     founder: list[int] = []
     out = np.empty(len(tokens), np.int64)
-    need = similarity * tokens.shape[1] - 1e-9
+    width = tokens.shape[1]
+    need = similarity * width - 1e-9
+    parts = _Parts(tokens, width - math.ceil(need) + 1) if len(tokens) > FEW_LINES else None
     for i, t in enumerate(tokens):
         k = len(founder)
-        agree = np.count_nonzero(templates[:k] == t, axis=1) if k else np.zeros(0, np.int64)
-        fit = np.flatnonzero(agree >= need)
+        if parts is None:
+            fit = np.flatnonzero(np.count_nonzero(templates[:k] == t, axis=1) >= need) if k else ()
+        else:
+            near = parts.templates_like(i)
+            fit = near[np.count_nonzero(templates[near] == t, axis=1) >= need] if len(near) else ()
         if len(fit):
             j = fit[0]
             templates[j][templates[j] != t] = np.int64(_VARIABLE)
             out[i] = founder[j]
         else:
+            j = k
             templates[k] = t
             founder.append(i)
             out[i] = i
+        if parts is not None:
+            parts.add(j, templates[j])
     return out
 
 
+class _Parts:
+    """Templates by the hashes of their parts, as they are and as they were."""
+
+    def __init__(self, tokens: np.ndarray, n: int):
+        n = max(1, min(n, tokens.shape[1]))
+        self.edges = np.linspace(0, tokens.shape[1], n + 1).astype(np.int64)[:-1]
+        self.scale = np.random.default_rng(1).integers(1, 2**63, tokens.shape[1], dtype=np.uint64) | _U(1)
+        self.hashes = self._of(tokens)
+        self.found: list[dict[int, list[int]]] = [{} for _ in self.edges]
+        self.now: dict[int, list[int]] = {}
+
+    def _of(self, tokens: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(K.mix(tokens.view(_U)) * self.scale, self.edges, axis=-1)
+
+    def templates_like(self, line: int) -> np.ndarray:
+        lists = [own for part, h in zip(self.found, self.hashes[line].tolist(), strict=True) if (own := part.get(h))]
+        return np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
+
+    def add(self, j: int, template: np.ndarray) -> None:
+        """Files a template under those of its parts that are new or have changed."""
+        hashes = self._of(template).tolist()
+        for part, h, before in zip(self.found, hashes, self.now.get(j, [None] * len(hashes)), strict=True):
+            if h != before:
+                part.setdefault(h, []).append(j)
+        self.now[j] = hashes
+
+
 def _drain_task(similarity: float):
     def leaf_templates(rows: pa.Table):
         line = rows["line"].to_numpy()
@@ -159,30 +203,51 @@ def further_copies(lines: DataFrame, some: DataFrame, templates: DataFrame) -> D
     return sets.join(least, "doc_id", "left_anti").select("doc_id")
 
 
-def recurring(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS) -> DataFrame:
+def divided(distinct: DataFrame, depth: int, leaf_lines: int, least: int) -> DataFrame:
+    """distinct (leaf, line, tokens, count) with its leaves of more than leaf_lines lines divided by further words."""
+    level = depth
+    while True:
+        large = cut(distinct.where(F.size("tokens") > level).groupBy("leaf").count().where(F.col("count") > leaf_lines).select("leaf"))
+        n = large.count()
+        if not n:
+            return distinct
+        word = F.element_at("tokens", level + 1).alias("word")
+        own = distinct.join(small(large, n), "leaf", "left_semi").groupBy("leaf", word).count().where(F.col("count") >= least).select("leaf", "word", F.lit(True).alias("frequent"))
+        frequent = cut(own)
+        marked = distinct.withColumn("word", F.get("tokens", F.lit(level))).join(small(frequent, frequent.count()), ["leaf", "word"], "left")
+        distinct = cut(marked.select(F.when(F.col("frequent"), F.xxhash64("leaf", "word", F.lit(level))).otherwise(F.col("leaf")).alias("leaf"), "line", "tokens", "count"))
+        level += 1
+
+
+def recurring(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, leaf_lines: int = LEAF_LINES) -> DataFrame:
     """(line, template): hashes of the lines whose templates recur; docs has doc_id and text."""
+    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = docs.where("doc_id is not null and text is not null")
-    lines = map_arrow(named, _lines_task(depth), f"doc_id {kind}, leaf long, line long, n long, total long")
+    folder = own_folder(spark, "lines")
+    map_arrow(named, _lines_task(depth), f"doc_id {kind}, leaf long, line long, n int, total int").write.parquet(folder)
+    lines = spark.read.parquet(folder)
     leaves = cut(lines.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"))
     busy = small(leaves, leaves.count())
     hot = cut(lines.join(busy, "leaf", "left_semi").drop("leaf"))
     times = hot.groupBy("line").count()
     texts = map_arrow(named.select("text"), _tokens_task(depth), "leaf long, line long, tokens array<bigint>").join(busy, "leaf", "left_semi")
-    distinct = texts.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens")).join(times, "line")
-    by_leaf = distinct.repartition("leaf").sortWithinPartitions("leaf", F.desc("count"), "line").select("leaf", "line", "tokens")
+    distinct = cut(texts.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens")).join(times, "line").select("leaf", "line", "tokens", "count"))
+    by_leaf = divided(distinct, depth, leaf_lines, max(min_docs, leaf_lines // 100)).repartition("leaf").sortWithinPartitions("leaf", F.desc("count"), "line").select("leaf", "line", "tokens")
     templates = cut(map_arrow(by_leaf, _drain_task(similarity), "line long, template long"))
     held = cut(hot.join(small(templates, templates.count()), "line").groupBy("doc_id", "template").agg(F.sum("n").alias("n"), F.max("total").alias("total")))
     often = held.groupBy("template").count().where(F.col("count") >= min_docs).select("template")
     copies = held.join(often, "template", "left_semi").groupBy("doc_id").agg(F.sum("n").alias("n"), F.max("total").alias("total")).where("n * 2 >= total").select("doc_id")
     pages = held.join(further_copies(lines, cut(copies), templates), "doc_id", "left_anti")
     recur = pages.groupBy("template").count().where(F.col("count") >= min_docs).select("template")
-    return templates.join(recur, "template", "left_semi").select("line", "template")
+    found = cut(templates.join(recur, "template", "left_semi").select("line", "template"))
+    delete(spark, folder)
+    return found
 
 
-def _drop_task(var, names: list[str], depth: int, counter: str | None):
+def _drop_task(folder: str, files: list[dict], names: list[str], depth: int, counter: str | None):
     def task(batches):
-        gone = var.value
+        gone = arrays.SortedSet(folder, files)
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()
@@ -190,8 +255,7 @@ def _drop_task(var, names: list[str], depth: int, counter: str | None):
             whole = [t or "" for t in texts]
             for a, b in K.slices(whole):
                 x = lines_of(whole[a:b], depth)
-                place = np.minimum(np.searchsorted(gone, x["line"].view(np.int64)), max(len(gone) - 1, 0))
-                hit = (gone[place] == x["line"].view(np.int64)) & (x["n"] > 0) if len(gone) else np.zeros(len(x["n"]), bool)
+                hit = gone.has(x["line"].view(np.int64)) & (x["n"] > 0)
                 for d in np.unique(x["doc"][hit]):
                     own = np.flatnonzero(x["doc"] == d) if len(x["doc"]) < 64 else np.arange(*np.searchsorted(x["doc"], [d, d + 1]))
                     texts[a + d] = "\n".join(line for line, h in zip(whole[a + d].split("\n"), hit[own], strict=True) if not h)
@@ -204,30 +268,24 @@ def _drop_task(var, names: list[str], depth: int, counter: str | None):
     return task
 
 
-def drop_lines(docs: DataFrame, lines: DataFrame, depth: int = DEPTH, hashes: int = HASHES, counter: str | None = None) -> DataFrame:
-    """docs, each text without the lines whose hashes are in ``lines``; the column ``counter``, if given, goes up by their number."""
-    spark = docs.sparkSession
-    groups = max(1, -(-lines.count() // hashes))
-    out = docs
-    for k in range(groups):
-        part = lines if groups == 1 else lines.where(F.pmod("line", F.lit(groups)) == k)
-        var = spark.sparkContext.broadcast(np.sort(part.select("line").toArrow()["line"].to_numpy()))
-        out = out.mapInArrow(_drop_task(var, out.columns, depth, counter), out.schema)
-        if k < groups - 1:
-            out = cut(out)
-            var.unpersist()
-    return out
+def drop_lines(docs: DataFrame, lines: DataFrame, depth: int = DEPTH, counter: str | None = None, per_file: int = arrays.SET_ROWS) -> DataFrame:
+    """docs, each text without the lines whose hashes are in ``lines``; the column ``counter``, if given, goes up by their number.
+
+    The hashes lie in sorted files of the shared folder, which the workers map: none comes to the driver.
+    """
+    folder = own_folder(docs.sparkSession, "hashes")
+    files = arrays.write_set(lines.select("line"), lines.count(), folder, per_file)
+    return docs.mapInArrow(_drop_task(folder, files, docs.columns, depth, counter), docs.schema)
 
 
 def clean(docs: DataFrame, **parameters) -> DataFrame:
-    """docs without their recurring lines, all columns as they were."""
+    """docs without their recurring lines, all other columns and all rows as they were."""
     prepare(docs.sparkSession)
-    gone = cut(recurring(pick(docs, doc_id="doc_id", text="text"), **parameters))
-    return drop_lines(docs, gone)
+    return drop_lines(docs, recurring(pick(docs, doc_id="doc_id", text="text"), **parameters))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its remaining text and the number of lines it lost."""
     prepare(spark)
     docs = pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="doc_id", text="text")
-    return drop_lines(docs.withColumn("n_dropped", F.lit(0).cast("long")), cut(recurring(docs)), counter="n_dropped")
+    return drop_lines(docs.withColumn("n_dropped", F.lit(0).cast("long")), recurring(docs), counter="n_dropped")
