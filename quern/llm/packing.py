@@ -4,8 +4,9 @@ A document's length is its number of words (runs of what isn't white space), or
 ``length``.  A document longer than ``capacity`` is cut into full pieces and a rest; pieces are then packed into
 bins of ``capacity`` so that little is left empty and nothing else is cut.
 
-* **Shards.**  Pieces are dealt by hash to shards of about ``shard_items``, each a packing problem of its own, so
-  that a worker holds a few thousand lengths (never texts) and work grows in proportion to the pieces.
+* **Shards.**  Pieces are dealt by a hash of their place in the table to shards of about ``shard_items``, each a
+  packing problem of its own, so that a worker holds a few thousand lengths (never texts) and work grows in
+  proportion to the pieces.  By their place, not their contents: rows without a doc_id and rows that repeat spread too.
 * **Islands.**  Each shard evolves on ``islands`` islands, each a row of a DataFrame with its own population of
   packings: best-fit-decreasing ones with perturbed orders.  Crossover injects a random choice of the first
   parent's well-filled bins whole into the second, takes out every bin of the second that holds one of their
@@ -18,7 +19,9 @@ The best packing over the islands of each shard is the result: one row a bin.  A
 shard, island and epoch: a run, or a task that is run again, gives the same bins.
 
 Defined cases: null and empty texts and texts without a word have length 0 and are in no bin; rows with a null
-doc_id are packed under the null; repeated rows are packed as often as they occur; an empty table has no bins.
+doc_id are packed under the null; repeated rows are packed as often as they occur; a text of any length is cut into
+pieces that are all packed; of bins that fit a piece equally well the first takes it; an empty table has no bins; only
+doc_id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -190,8 +193,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None
     kind = docs.schema["doc_id"].dataType.simpleString()
     items = cut(pieces(docs, capacity, length))
     shards = max(1, -(-items.count() // shard_items))
-    # the size is hashed too, so that rows without a doc_id spread
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "size"), F.lit(shards)).cast("long"))
+    # items is written: reading it again gives each row the same place
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("long"))
     held = cut(dealt.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("doc_id", "piece", "size"))).alias("items")))
 
     def sizes_task(batches):
@@ -213,4 +216,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bins of all documents."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
