@@ -13,7 +13,8 @@ more than 64 languages take several masks a slot.
 
 Defined cases: null and empty texts and texts without a letter are ``und`` with confidence 0; of equal shares the
 alphabetically first language wins; rows with a null language take no part in counting; rows are decided one by
-one, so repeated rows agree and rows with a null doc_id are decided too; without any profile all is ``und``.
+one, so repeated rows agree and rows with a null doc_id are decided too; a text of any length is read in whole; without
+any profile all is ``und``; an empty table gives an empty result; only doc_id, text and lang are read.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from quern.llm import kernel as K
 from quern.llm.common import cut, map_arrow, pick, prepare, texts_of
 
 GRAM, SHARE, LEAST, SLOT_BITS, HASHES = 4, 1e-5, 0.2, 16, 3
+#: Distinct n-grams that a counting task holds before it passes them on.
+HELD = 2_000_000
 _U = np.uint64
 
 
@@ -54,6 +57,11 @@ def gram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _count_task(batches):
     have: dict[str, list] = {}
 
+    def rows(parts):
+        for lang, x in parts.items():
+            g, n = merged(x)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "g", "n"])
+
     def merged(parts):
         g, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(g, kind="stable")
@@ -63,10 +71,10 @@ def _count_task(batches):
 
     for k, batch in enumerate(batches):
         texts = texts_of(batch)
-        rows: dict[str, list[str]] = {}
+        by: dict[str, list[str]] = {}
         for t, lang in zip(texts, batch.column(batch.schema.get_field_index("lang")).to_pylist(), strict=True):
-            rows.setdefault(lang, []).append(t)
-        for lang, own in rows.items():
+            by.setdefault(lang, []).append(t)
+        for lang, own in by.items():
             for a, b in K.slices(own):
                 g = np.sort(gram_hashes(own[a:b])[0])
                 if len(g):
@@ -74,9 +82,10 @@ def _count_task(batches):
                     have.setdefault(lang, []).append((g[first], np.diff(np.append(first, len(g)))))
         if k % 4 == 3:
             have = {lang: [merged(x)] for lang, x in have.items()}
-    for lang, x in have.items():
-        g, n = merged(x)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "g", "n"])
+            if sum(len(x[0][0]) for x in have.values()) > HELD:
+                yield from rows(have)
+                have = {}
+    yield from rows(have)
 
 
 def profiles(docs: DataFrame, share: float = SHARE) -> DataFrame:
@@ -166,6 +175,7 @@ def identify(docs: DataFrame, bloom: SlicedBloom, least: float = LEAST) -> DataF
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by filters made of the whole table."""
     prepare(spark)
     docs = pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="doc_id", text="text", lang="lang")
     return identify(docs, filters(docs))
