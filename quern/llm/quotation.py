@@ -11,13 +11,16 @@ the message before it.
 The result has one row a message: reply order by depth first, a parent before its replies and replies by turn, its
 text without the quotes and without the line that announces one (``On … wrote:``).
 
-Only hashes are joined and grouped; texts stay in the scan until the last join.  A conversation's reply tree is
-walked in a task of its own, over (turn, parent) only.
+Only hashes are shuffled and grouped; texts stay in the scan until the last join.  The latest earlier origin of a quote
+is found in one pass over the messages that hold its hash, by turn, so that a line that a whole conversation repeats
+costs no more than others.  Reply trees are walked in tasks of some ``TASK_TURNS`` messages, over (turn, parent) only,
+16 bytes a message: a conversation is one tree and is not divided.
 
 Defined cases: null and empty texts have no quotes and stay as they are; rows without conv_id or turn belong to no
 conversation: they keep their text, position and parent null; rows that repeat (conv_id, turn) are one message for
 links and share position and parent; quotes of texts that aren't in the conversation are removed like others;
-hashes of fewer than ``min_words`` words link nothing ("Thanks.").
+hashes of fewer than ``min_words`` words link nothing ("Thanks."); a text of any length is parsed in whole; an empty
+table stays empty; of the columns conv_id, turn, role and text are read, whatever others there are.
 """
 
 from __future__ import annotations
@@ -26,13 +29,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quern.llm import kernel as K
 from quern.llm.common import cut, map_arrow, pick, prepare
 
-MIN_WORDS = 3
+MIN_WORDS, TASK_TURNS = 3, 20_000
 _QUOTE = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.S)
 _ANNOUNCE = re.compile(r"[ \t]*(on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)[ \t]*:[ \t]*", re.I)
 
@@ -126,37 +131,75 @@ def links(messages: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(conv_id, turn, parent) for messages (conv_id, turn, text) with a quote whose origin is found."""
     kinds = [messages.schema[c].dataType.simpleString() for c in ("conv_id", "turn")]
     hashes = cut(map_arrow(messages.where("conv_id is not null and turn is not null and text is not null"), _hash_task(min_words), f"conv_id {kinds[0]}, turn {kinds[1]}, level int, h long, words long"))
-    quotes = hashes.where("level > 0").withColumnRenamed("turn", "by")
-    origins = hashes.where("level = 0").select("conv_id", "h", "turn")
-    found = quotes.join(origins, ["conv_id", "h"]).where("turn < by")
-    best = F.max_by("turn", F.struct(-F.col("level"), F.col("words"), F.col("turn")))
-    return found.groupBy("conv_id", F.col("by").alias("turn")).agg(best.alias("parent"))
-
-
-def order(turns: list, parents: list) -> tuple[list[int], list[int]]:
-    """For messages in the order of their turns, the position and depth of each; a parent is a place or None."""
-    children: list[list[int]] = [[] for _ in turns]
-    roots = []
-    for i, p in enumerate(parents):
-        (roots if p is None else children[p]).append(i)
-    position, depth = [0] * len(turns), [0] * len(turns)
-    stack, at = [(i, 0) for i in reversed(roots)], 0
-    while stack:
-        i, d = stack.pop()
-        position[i], depth[i] = at, d
-        at += 1
-        stack += [(j, d + 1) for j in reversed(children[i])]
+    quoted = hashes.where("level > 0").select("conv_id", "h").distinct()  # most own text is never quoted
+    some = hashes.join(quoted, ["conv_id", "h"], "left_semi")
+    # turns may be of any type that has an order: a message's own passages are passed over by their rank
+    at = F.dense_rank().over(Window.partitionBy("conv_id", "h").orderBy("turn"))
+    origin = F.when(F.col("level") == 0, F.struct("at", "turn"))
+    ranked = some.withColumn("at", at).withColumn("origin", origin)
+    before = Window.partitionBy("conv_id", "h").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    found = ranked.withColumn("from", F.max("origin").over(before)["turn"]).where("level > 0 and from is not null")
+    best = F.max_by("from", F.struct(-F.col("level"), F.col("words"), F.col("from")))
+    return found.groupBy("conv_id", "turn").agg(best.alias("parent"))
+
+
+def order(parents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Position depth first, and depth, of messages in the order of their turns; a parent is an earlier place or -1."""
+    n = len(parents)
+    depth, size = np.zeros(n, np.int64), np.ones(n, np.int64)
+    up = parents.tolist()
+    for i, p in enumerate(up):
+        if p >= 0:
+            depth[i] = depth[p] + 1
+    for i in range(n - 1, -1, -1):
+        if up[i] >= 0:
+            size[up[i]] += size[i]
+    # a reply comes after its parent and that one's earlier replies with all that is below them
+    position, free, roots = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+    for i, p in enumerate(up):
+        if p < 0:
+            position[i] = roots
+            roots += size[i]
+        else:
+            position[i] = free[p]
+            free[p] += size[i]
+        free[i] = position[i] + 1
     return position, depth
 
 
-def _tree_task(table: pa.Table) -> pa.Table:
-    table = table.sort_by("turn")
-    turns, parents = table["turn"].to_pylist(), table["parent"].to_pylist()
-    place = {t: i for i, t in enumerate(turns)}
-    at = [place[p] if p is not None else (i - 1 if i else None) for i, p in enumerate(parents)]
-    position, depth = order(turns, at)
-    named = pa.array([None if p is None else turns[p] for p in at], table.schema.field("turn").type)
-    return pa.table({"conv_id": table["conv_id"], "turn": table["turn"], "parent_turn": named, "position": pa.array(position, pa.int64()), "depth": pa.array(depth, pa.int64())})
+def _tree_task(names: list[str]):
+    def trees(table: pa.Table) -> pa.RecordBatch:
+        conv, turn = table["conv_id"], table["turn"]
+        parent = table["parent"]
+        n = table.num_rows
+        place = {t: i for i, t in enumerate(turn.to_pylist())}
+        at = np.array([place[p] if p is not None else i - 1 for i, p in enumerate(parent.to_pylist())], np.int64)
+        position, depth = order(at)
+        named = turn.combine_chunks().take(pa.array(at, mask=at < 0)) if n else turn
+        return pa.RecordBatch.from_arrays([conv.combine_chunks(), turn.combine_chunks(), named, pa.array(position), pa.array(depth)], names)
+
+    def task(batches):
+        # rows come sorted by conversation and turn; the last conversation of a batch may go on in the next
+        held: list[pa.Table] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            conv = table["conv_id"].combine_chunks()
+            new = np.flatnonzero(pc.not_equal(conv[1:], conv[:-1]).to_numpy(zero_copy_only=False)) + 1
+            edges = [0, *new.tolist(), table.num_rows]
+            if held and held[0]["conv_id"][0].as_py() != conv[0].as_py():
+                yield trees(pa.concat_tables(held))
+                held = []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                held.append(table.slice(a, b - a))
+                if b < table.num_rows:
+                    yield trees(pa.concat_tables(held))
+                    held = []
+        if held:
+            yield trees(pa.concat_tables(held))
+
+    return task
 
 
 def _text_task(names):
@@ -175,10 +218,16 @@ def threads(conversations: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     kinds = [own.schema[c].dataType.simpleString() for c in ("conv_id", "turn")]
     parents = links(own.select("conv_id", "turn", "text"), min_words)
     turns = own.where("conv_id is not null and turn is not null").select("conv_id", "turn").distinct()
-    tree = turns.join(parents, ["conv_id", "turn"], "left").groupBy("conv_id").applyInArrow(_tree_task, f"conv_id {kinds[0]}, turn {kinds[1]}, parent_turn {kinds[1]}, position long, depth long")
+    known = cut(turns.join(parents, ["conv_id", "turn"], "left"))
+    # a few bytes a message, but a walk in Python: adaptive execution would put all of them into one task
+    tasks = max(1, -(-known.count() // TASK_TURNS))
+    names = ["conv_id", "turn", "parent_turn", "position", "depth"]
+    rows = known.repartition(tasks, "conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "turn", "parent")
+    tree = map_arrow(rows, _tree_task(names), f"conv_id {kinds[0]}, turn {kinds[1]}, parent_turn {kinds[1]}, position long, depth long")
     plain = own.mapInArrow(_text_task(own.columns), own.schema)
     return plain.join(tree, ["conv_id", "turn"], "left")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages, without quotes and in reply order."""
     return threads(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
