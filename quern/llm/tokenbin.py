@@ -8,10 +8,13 @@ random, high planes are nearly constant, and each is compressed by itself with z
 One row is one block, and carries its share of the chunk index: which documents begin or go on in it, from which id
 of theirs, where in the block and for how many ids.  A reader therefore finds a document's blocks by filtering the
 index columns and decompresses nothing else; bit planes that are constant cost a few bytes.  Nothing is shuffled:
-blocks are filled within a task, and a task that is run again yields the same rows.
+blocks are filled within a task, and a task that is run again yields the same rows.  The vocabulary is read once, on
+the driver, and sent to the workers (a few MB).
 
 Defined cases: null and empty texts have no ids but their closing ``end_id``, so every row of the table is in the
-index; a row with a null doc_id is indexed under the null; repeated rows are written as often as they occur.
+index; a row with a null doc_id is indexed under the null; repeated rows are written as often as they occur, in the
+order of the table; a text of any length is encoded in whole and goes on over as many blocks as it needs; an empty
+table has no blocks; only doc_id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -29,15 +32,15 @@ from quern.llm.common import map_arrow, pick, prepare, texts_of
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY, END_ID, BLOCK_IDS, LEVEL = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256, 1 << 16, 3
-_SCHEMA = "partition int, block long, n_ids int, width int, planes array<binary>, doc_ids array<{id}>, doc_from array<bigint>, doc_at array<int>, doc_n array<int>"
+_SCHEMA = "partition int, block long, n_ids int, width int, planes array<binary>, doc_ids array<{id}>, doc_no array<bigint>, doc_from array<bigint>, doc_at array<int>, doc_n array<int>"
 
 
-def encoder(vocabulary: str):
+def encoder(ranks: bytes):
+    """The tokenizer of a rank file's contents."""
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    pairs = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=pairs, special_tokens={})
 
 
 def width_of(largest: int) -> int:
@@ -70,30 +73,30 @@ def from_planes(planes: list[bytes], n_ids: int, width: int) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").reshape(-1).view(f"<u{width}").astype(np.int64)
 
 
-def blocks_of(documents: Iterator[tuple[object, np.ndarray]], block_ids: int) -> Iterator[tuple[np.ndarray, list, list, list, list]]:
-    """(ids, doc_ids, from, at, n) of each block of a run of (doc_id, ids)."""
+def blocks_of(documents: Iterator[tuple[object, np.ndarray]], block_ids: int) -> Iterator[tuple]:
+    """(ids, doc_ids, numbers, from, at, n) of each block of a run of (doc_id, ids)."""
     held: list[np.ndarray] = []
-    index: tuple[list, list, list, list] = ([], [], [], [])
+    index: tuple[list, ...] = ([], [], [], [], [])
     room = block_ids
-    for doc_id, ids in documents:
+    for number, (doc_id, ids) in enumerate(documents):
         done = 0
         while done < len(ids):
             take = min(room, len(ids) - done)
             held.append(ids[done : done + take])
-            for column, value in zip(index, (doc_id, done, block_ids - room, take), strict=True):
+            for column, value in zip(index, (doc_id, number, done, block_ids - room, take), strict=True):
                 column.append(value)
             done += take
             room -= take
             if not room:
                 yield (np.concatenate(held), *index)
-                held, index, room = [], ([], [], [], []), block_ids
+                held, index, room = [], ([], [], [], [], []), block_ids
     if held:
         yield (np.concatenate(held), *index)
 
 
-def _task(vocabulary: str, end_id: int, block_ids: int, mode: str, schema: pa.Schema, level: int):
+def _task(ranks, end_id: int, block_ids: int, mode: str, schema: pa.Schema, level: int):
     def task(batches):
-        encode = encoder(vocabulary)
+        encode = encoder(ranks.value)
         width = width_of(max(end_id, encode.max_token_value))
         part = TaskContext.get().partitionId()
 
@@ -103,8 +106,8 @@ def _task(vocabulary: str, end_id: int, block_ids: int, mode: str, schema: pa.Sc
                 for doc_id, text in zip(ids, texts_of(batch), strict=True):
                     yield doc_id, np.array([*encode.encode_ordinary(text), end_id], np.uint32)
 
-        for k, (ids, docs, begin, at, n) in enumerate(blocks_of(documents(), block_ids)):
-            row = {"partition": part, "block": k, "n_ids": len(ids), "width": width, "planes": to_planes(ids, width, mode, level), "doc_ids": docs, "doc_from": begin, "doc_at": at, "doc_n": n}
+        for k, (ids, docs, number, begin, at, n) in enumerate(blocks_of(documents(), block_ids)):
+            row = {"partition": part, "block": k, "n_ids": len(ids), "width": width, "planes": to_planes(ids, width, mode, level), "doc_ids": docs, "doc_no": number, "doc_from": begin, "doc_at": at, "doc_n": n}
             yield pa.RecordBatch.from_pylist([row], schema)
 
     return task
@@ -120,36 +123,32 @@ def write_blocks(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = EN
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema = pa.schema(
-        [("partition", pa.int32()), ("block", pa.int64()), ("n_ids", pa.int32()), ("width", pa.int32()), ("planes", pa.list_(pa.binary())), ("doc_ids", pa.list_(to_arrow_type(kind))), ("doc_from", pa.list_(pa.int64())), ("doc_at", pa.list_(pa.int32())), ("doc_n", pa.list_(pa.int32()))]
+        [("partition", pa.int32()), ("block", pa.int64()), ("n_ids", pa.int32()), ("width", pa.int32()), ("planes", pa.list_(pa.binary())), ("doc_ids", pa.list_(to_arrow_type(kind))), ("doc_no", pa.list_(pa.int64())), ("doc_from", pa.list_(pa.int64())), ("doc_at", pa.list_(pa.int32())), ("doc_n", pa.list_(pa.int32()))]
     )
-    return map_arrow(own, _task(vocabulary, end_id, block_ids, mode, schema, level), _SCHEMA.format(id=kind.simpleString()))
+    with open(vocabulary, "rb") as f:
+        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
+    return map_arrow(own, _task(ranks, end_id, block_ids, mode, schema, level), _SCHEMA.format(id=kind.simpleString()))
 
 
-def read_documents(blocks: DataFrame, end_id: int = END_ID) -> DataFrame:
-    """(partition, doc_id, ids) of every document in blocks, without the closing id; a document may span blocks."""
+def read_documents(blocks: DataFrame) -> DataFrame:
+    """(partition, doc_no, doc_id, ids) of every document in blocks, without the closing id; a document may span blocks."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     kind = blocks.schema["doc_ids"].dataType.elementType
+    out = pa.schema([("partition", pa.int32()), ("doc_no", pa.int64()), ("doc_id", to_arrow_type(kind)), ("start", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
     def task(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 ids = from_planes(r["planes"], r["n_ids"], r["width"])
-                rows = [{"partition": r["partition"], "block": r["block"], "at": a, "doc_id": d, "start": f, "ids": ids[a : a + n].tolist()} for d, f, a, n in zip(r["doc_ids"], r["doc_from"], r["doc_at"], r["doc_n"], strict=True)]
-                yield pa.RecordBatch.from_pylist(rows, out)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    out = pa.schema([("partition", pa.int32()), ("block", pa.int64()), ("at", pa.int32()), ("doc_id", to_arrow_type(kind)), ("start", pa.int64()), ("ids", pa.list_(pa.int64()))])
-    parts = map_arrow(blocks, task, f"partition int, block long, at int, doc_id {kind.simpleString()}, start long, ids array<bigint>")
-    # a part belongs to the document whose first part is the last such before it in the partition
-    place = F.struct(F.col("block").alias("block"), F.col("at").alias("at"))
-    first = (F.col("block") * (1 << 31) + F.col("at")).alias("key")
-    from pyspark.sql.window import Window
+                index = zip(r["doc_ids"], r["doc_no"], r["doc_from"], r["doc_at"], r["doc_n"], strict=True)
+                yield pa.RecordBatch.from_pylist([{"partition": r["partition"], "doc_no": k, "doc_id": d, "start": f, "ids": ids[a : a + n]} for d, k, f, a, n in index], out)
 
-    w = Window.partitionBy("partition").orderBy("key")
-    marked = parts.select("partition", first, "doc_id", "ids", (F.col("start") == 0).cast("long").alias("begins"), place.alias("place")).withColumn("n", F.sum("begins").over(w))
-    whole = marked.groupBy("partition", "n").agg(F.first("doc_id").alias("doc_id"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("key", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return whole.select("partition", "doc_id", F.filter("ids", lambda x: x != end_id).alias("ids"))
+    parts = map_arrow(blocks, task, f"partition int, doc_no long, doc_id {kind.simpleString()}, start long, ids array<bigint>")
+    whole = parts.groupBy("partition", "doc_no").agg(F.first("doc_id").alias("doc_id"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("start", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return whole.select("partition", "doc_no", "doc_id", F.slice("ids", 1, F.size("ids") - 1).alias("ids"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as blocks of bit planes."""
     return write_blocks(spark.read.parquet(f"{sf_dir}/documents.parquet"))
