@@ -13,8 +13,10 @@ from quern.session import let_workers_import, shared_folder
 
 #: Rows of an id table that is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Rows of an Arrow batch: 10,000 texts of a crawl can be more than a worker should hold.
-BATCH_ROWS = "2000"
+#: Rows and bytes of an Arrow batch: 10,000 texts of a crawl can be more than a worker should hold.
+BATCH_ROWS, BATCH_BYTES = "2000", str(4 << 20)
+#: What a worker allocates for one batch goes back to the system instead of staying with the worker.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20)}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,7 +30,9 @@ def prepare(spark: SparkSession) -> None:
     """
     let_workers_import(spark)
     sc = spark.sparkContext
+    sc.environment.update({k: v for k, v in WORKER_ENV.items() if k not in sc.environment})
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(spark))
         fs, path = filesystem(spark, sc.getCheckpointDir())  # a folder of this session's own
@@ -85,13 +89,6 @@ def new_name(prefix: str) -> str:
     return f"{prefix}_{uuid.uuid4().hex[:12]}"
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in the one column of ids; rows with a null doc_id stay."""
-    name = new_name("id")
-    gone = cut(ids.toDF(name).where(F.col(name).isNotNull()).distinct())
-    return docs.join(small(gone, gone.count()), column(docs, "doc_id") == F.col(name), "left_anti")
-
-
 def row_key(*columns: Column) -> tuple[Column, Column]:
     """128 bits of the values of some columns, nulls told apart: a name for rows that have none of their own."""
     parts = [x for c in columns for x in (c.isNull(), c)]
