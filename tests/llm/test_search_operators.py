@@ -5,13 +5,15 @@ from __future__ import annotations
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import regex
 from conftest_llm import prose, words
 
-from quern.llm import decontaminate, simhash, substring
+from quern.llm import decontaminate, kernel, simhash, substring
 
-_WORD = re.compile(r"[^\W_]+")
+_WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 
 
 def folded(text):
@@ -29,14 +31,25 @@ def brute_units(text):
             yield start, start + len(unit), folded(unit)
 
 
-def brute_repeats(rows, least=5):
-    seen, out = {}, set()
-    for doc_id, text in sorted((r[0], r[1]) for r in rows if r[0] is not None and r[1] is not None):
-        for start, stop, w in brute_units(text):
-            if len(w) >= least:
-                first = seen.setdefault(tuple(w), (doc_id, start))
-                if first != (doc_id, start):
-                    out.add((doc_id, start, stop, len(w), *first))
+def brute_repeats(rows, least=5, run=20):
+    """(doc_id, start, stop, words, kept id, kept start) of the units of repeating passages; a text's key orders texts of one id."""
+    texts = sorted({(r[0], r[1]) for r in rows if r[0] is not None and r[1] is not None})
+    units = {x: [u for u in brute_units(x[1]) if len(u[2]) >= least] for x in texts}
+    first = {}
+    for x in texts:
+        for start, _, w in units[x]:
+            first.setdefault(tuple(w), []).append((x[0], start, x[1]))
+    out = set()
+    for x in texts:
+        held = []
+        for u in [*units[x], None]:
+            origin = min(first[tuple(u[2])])[:2] if u else None
+            if u and (origin != (x[0], u[0])):
+                held.append((x[0], u[0], u[1], len(u[2]), *origin))
+                continue
+            if sum(h[3] for h in held) >= run:
+                out |= set(held)
+            held = []
     return out
 
 
@@ -44,9 +57,11 @@ def test_substring_matches_brute_force(frame, odd_rows):
     rng = random.Random(1)
     passage = prose(rng, 60)
     rows = odd_rows + [(400 + k, prose(rng, 20)[:-1] + " " + passage.replace("\n", " ") + " " + prose(rng, 20)) for k in range(4)]
+    rows += [(410 + k, prose(rng, 30) + "\nAll rights reserved to their owners.\n" + prose(rng, 30)) for k in range(4)]
+    rows += [(420, "😀 Ten words of 𐐀𐐁 and é are in this unit. 😀 " + passage)]
     got = {tuple(r) for r in substring.repeats(frame(rows)).collect()}
     assert got == brute_repeats(rows)
-    assert {r[0] for r in got} >= {401, 402, 403}
+    assert {r[0] for r in got} >= {401, 402, 403, 420} and not {r[0] for r in got} & {410, 411, 412, 413}
 
 
 def test_substring_clean_keeps_first_and_columns(frame, odd_rows):
@@ -58,6 +73,15 @@ def test_substring_clean_keeps_first_and_columns(frame, odd_rows):
     assert out.count() == len(odd_rows)
 
 
+def test_substring_clean_cuts_each_text_by_its_own_spans(frame):
+    rng = random.Random(14)
+    passage = "Alpha beta gamma delta epsilon zeta eta. Theta iota kappa lambda mu nu xi. Omicron pi rho sigma tau upsilon phi chi."
+    rows = [(1, passage), (2, passage + " Unique words come last here."), (2, "Completely other text which never repeats anything at all, honest."), (2, prose(rng, 40) + " " + passage), (None, passage)]
+    out = [(r["doc_id"], r["text"]) for r in substring.clean(frame(rows)).collect()]
+    want = [(1, passage), (2, "   Unique words come last here."), (2, rows[2][1]), (2, rows[3][1][: -len(passage)] + "  "), (None, passage)]
+    assert sorted(out, key=str) == sorted(want, key=str)
+
+
 def test_substring_empty_table(frame):
     assert substring.repeats(frame([])).count() == 0
 
@@ -97,6 +121,14 @@ def test_decontamination_matches_brute_force(spark, frame, odd_rows):
     assert len(want) > 20
 
 
+def test_other_characters_between_and_in_words(spark, frame):
+    item = "one two three 𐐀𐐁 four five six"
+    rows = [(1, "one two three 😀 𐐨𐐩 four 🎉five, six seven"), (2, "one two three x𐐨𐐩 four five six"), (3, "ONE TWO THREE 𐐀𐐩\u3000four — five six")]
+    want = brute_leaks(rows, [(1, item)])
+    assert {tuple(r) for r in decontaminate.leaks(frame(rows), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()} == want
+    assert {w[0] for w in want} == {1, 3}
+
+
 def test_no_match_across_two_texts(spark, frame):
     item = "alpha beta gamma delta epsilon zeta"
     rows = [(1, "alpha beta gamma"), (2, "delta epsilon zeta"), (3, item + "s"), (4, "x" + item)]
@@ -109,6 +141,13 @@ def test_decontamination_keep_and_empty(spark, frame, odd_rows):
     out = decontaminate.keep(docs, bench)
     assert out.columns == docs.columns
     assert out.count() == len(odd_rows) - 1 and out.where("doc_id = 0").count() == 0
+    again = decontaminate.keep(docs, spark.createDataFrame([(k, odd_rows[0][1][k : k + 200]) for k in range(0, 20, 4)], "item_id long, text string"), group=2)
+    assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
+    # each row by its own text, whatever its id
+    rows = [(1, odd_rows[0][1]), (1, "harmless"), (None, "so " + odd_rows[0][1]), (None, "harmless too")]
+    assert sorted(r["text"] for r in decontaminate.keep(frame(rows), bench).collect()) == ["harmless", "harmless too"]
+    clash = bench.selectExpr("item_id", "text", "item_id AS doc_id", "text AS lang", "1 AS hits")
+    assert decontaminate.leaks(docs, clash).count() == decontaminate.leaks(docs, bench).count()
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
     assert decontaminate.leaks(frame([]), bench).count() == 0
 
@@ -116,9 +155,28 @@ def test_decontamination_keep_and_empty(spark, frame, odd_rows):
 # --- SimHash -----------------------------------------------------------------------------------------------------
 
 
-def brute_groups(rows, radius=simhash.RADIUS, ratio=simhash.RATIO):
+def mixed(h):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ h >> shift) * factor % 2**64
+    return h ^ h >> 31
+
+
+def brute_signature(text):
+    """(signature, number of features) by single votes; of the library only the hash of a word."""
+    w = [int(kernel.words(kernel.code_points([x])[0])[0][0]) for x in folded(text)]
+    features = {mixed((a * 0x9E3779B97F4A7C15 + b) % 2**64) for a, b in itertools.pairwise(w)} or set(w)
+    votes = Counter()
+    for f in {f >> 20 for f in features}:
+        words = mixed((f + 0x51ED270B0F2A3C55) % 2**64), mixed((f * 0xC2B2AE3D27D4EB4F + 0x165667B19E3779F9) % 2**64)
+        for bit in range(128):
+            votes[bit] += 1 if words[bit // 64] >> bit % 64 & 1 else -1
+    return sum(1 << bit for bit in range(128) if votes[bit] > 0), len(features)
+
+
+def brute_groups(rows, radius=simhash.RADIUS):
     rows = [(r[0], r[1]) for r in rows if r[0] is not None]
-    sig, n = simhash.signatures_of([r[1] or "" for r in rows])
+    of = {t: brute_signature(t or "") for t in {r[1] for r in rows}}
+    sig, n = [of[r[1]][0] for r in rows], [of[r[1]][1] for r in rows]
     parent = {r[0]: r[0] for r in rows}
 
     def root(x):
@@ -127,7 +185,7 @@ def brute_groups(rows, radius=simhash.RADIUS, ratio=simhash.RATIO):
         return x
 
     for (i, a), (j, b) in itertools.combinations(enumerate(rows), 2):
-        if n[i] and n[j] and min(n[i], n[j]) >= ratio * max(n[i], n[j]) and int(np.bitwise_count(sig[i] ^ sig[j]).sum()) <= radius:
+        if n[i] and n[j] and (sig[i] ^ sig[j]).bit_count() <= radius:
             x, y = sorted((root(a[0]), root(b[0])))
             parent[y] = x
     return {(d, root(d)) for d in parent if root(d) != d}
@@ -189,9 +247,37 @@ def test_close_pairs_is_exact():
     assert set(zip(u.tolist(), (v + 5000).tolist(), strict=True)) == {p for p in want if p[0] < 5000 <= p[1]}
 
 
+def test_tile_pairs_are_skipped_by_counts_alone(spark):
+    # signatures of few and of many bits: what is far apart in its counts isn't compared, what is near is
+    rng = np.random.default_rng(13)
+    bits = np.concatenate([rng.random((600, 128)) < 0.2, rng.random((600, 128)) < 0.8])
+    sig = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    sig = np.unique(sig, axis=0)
+    counts = Counter(simhash.populations(sig).tolist())
+    first, many, ends = simhash.tiling(dict(counts), 8, 10**6)
+    pairs = [(x, y) for i, x in enumerate(ends) for y in ends[i:]]
+    skipped = [p for p in pairs if max(p[0][0] - p[1][1], p[1][0] - p[0][1]) > simhash.RADIUS]
+    assert len(skipped) >= 0.2 * len(pairs)
+    assert all(first[p] + many[p] <= len(ends) and ends[first[p]][0] <= p <= ends[first[p]][1] for p in counts)
+    points = spark.createDataFrame([(k, int(a.view(np.int64)), int(b.view(np.int64))) for k, (a, b) in enumerate(sig)], "node long, h0 long, h1 long")
+    want = simhash.forest(*np.nonzero(np.triu(np.bitwise_count(sig[:, None] ^ sig[None]).sum(axis=2) <= 40, 1)), len(sig))
+    got = dict(tuple(r) for r in simhash.components(simhash.edges(points, 40, 8, 100)).collect())
+    assert [got.get(k, k) for k in range(len(sig))] == want.tolist()
+
+
+def test_no_text_is_lost_where_rows_share_an_id(frame):
+    rng = random.Random(15)
+    a, b = prose(rng, 200), prose(rng, 200)
+    rows = [(3, a), (5, a), (5, b), (9, b)]
+    kept = sorted((r["doc_id"], r["text"]) for r in simhash.keep(frame(rows)).collect())
+    assert kept == [(3, a), (5, b)]
+
+
 def test_signature_by_definition():
     text = "one two three two three four"
     sig, n = simhash.signatures_of([text, "", "word", "!"])
+    for k, t in ((0, text), (2, "word")):
+        assert int(sig[k, 0]) | int(sig[k, 1]) << 64 == brute_signature(t)[0]
     assert n.tolist() == [4, 0, 1, 0]  # pairs: one-two, two-three, three-two, three-four
     again, _ = simhash.signatures_of([text.upper().replace(" ", ", ")])
     assert np.array_equal(again[0], sig[0])
