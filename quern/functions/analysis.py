@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import pandas as pd
 import regex
@@ -133,7 +135,9 @@ def analyze(c: Column, analyzer: str = "unicode", locales: tuple[str, ...] = (),
     if analyzer == "identity":
         return c
     c = F.coalesce(c.cast("string"), F.lit(""))
-    c = separate_cjk(fold_accents(strip_html(c)))
+    c = strip_html(c)
+    plain = F.octet_length(c) == F.char_length(c)  # ASCII has nothing to fold or to separate
+    c = F.when(plain, c).otherwise(separate_cjk(fold_accents(c)))
     if analyzer == "fallback":
         c = transliterate(c)
     else:
@@ -145,6 +149,26 @@ def analyze(c: Column, analyzer: str = "unicode", locales: tuple[str, ...] = (),
     return stems(locale)(c) if analyzer == "stemming" and stem.known(locale) else c
 
 
+@dataclass(frozen=True)
+class Analyzer:
+    """An analyser of one's own: what is done to documents, and the same for queries; the result is lower-cased."""
+
+    name: str
+    column: Callable[[Column], Column] = field(compare=False)
+    text: Callable[[str], str] = field(compare=False)
+
+
+def analyzed(c: Column, analyzer: str | Analyzer = "unicode", locales: tuple[str, ...] = (), dedupe: bool = False, locale: str = "en") -> Column:
+    """A text by a named analyser or one's own."""
+    if isinstance(analyzer, Analyzer):
+        return F.lower(analyzer.column(F.coalesce(c.cast("string"), F.lit(""))))
+    return analyze(c, analyzer, locales, dedupe, locale)
+
+
+def analyzed_py(text: str, analyzer: str | Analyzer = "unicode", locale: str = "en") -> str:
+    return analyzer.text(text).lower() if isinstance(analyzer, Analyzer) else analyze_py(text, analyzer, locale)
+
+
 def tokens(c: Column) -> Column:
     """Letter and digit runs of at least 2 characters, of any length in text with a per-character script."""
     words = F.split(F.lower(c), r"[^\p{L}\p{N}]+")
@@ -152,6 +176,11 @@ def tokens(c: Column) -> Column:
     return F.when(short, F.filter(words, lambda t: F.length(t) >= 1)).otherwise(F.filter(words, lambda t: F.length(t) >= 2))
 
 
+def word_difference(old: Column, new: Column) -> Column:
+    """The words of a text that aren't in another, each once; both analysed."""
+    return F.array_except(tokens(new), tokens(old))
+
+
 def vocabulary_tokens(c: Column) -> Column:
     """Distinct space-delimited words without the punctuation around them."""
     bare = F.transform(F.split(F.trim(c), r"\s+"), lambda w: F.regexp_replace(w, r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", ""))

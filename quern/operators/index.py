@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import json
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,13 +25,16 @@ def with_relations(records: DataFrame, spec: SearchableSpec) -> DataFrame:
             continue
         key = F.col(r.foreign_key).alias("__fk")
         if r.many:
-            at = F.row_number().over(Window.partitionBy("__fk").orderBy("__at")) if r.order_by else None
-            rows = r.rows.select(key, *([F.col(r.order_by).alias("__at")] if r.order_by else []), *[F.coalesce(F.col(w).cast("string"), F.lit("")).alias(w) for w in wanted])
-            if at is not None:
-                rows = rows.withColumn("__n", at)
-            place = F.col("__n") if at is not None else F.monotonically_increasing_id()
-            first = lambda w: F.slice(F.filter(F.transform(F.sort_array(F.collect_list(F.struct(place.alias("n"), F.col(w).alias("v")))), lambda x: x["v"]), lambda v: v != ""), 1, r.limit)  # noqa: E731, B023
-            rows = rows.groupBy("__fk").agg(*[F.array_join(first(w), " ").alias(f"{r.name}.{w}") for w in wanted])
+            place = F.col("__at") if r.order_by else F.col("__id")
+            rows = r.rows.select(key, *([F.col(r.order_by).alias("__at")] if r.order_by else []), *[F.nullif(F.coalesce(F.col(w).cast("string"), F.lit("")), F.lit("")).alias(w) for w in wanted])
+            rows = rows.withColumn("__id", F.monotonically_increasing_id())
+            # of each column the first values of a key that aren't empty: a key with millions of rows collects no more
+            for k, w in enumerate(wanted):
+                n = F.row_number().over(Window.partitionBy("__fk", F.col(f"`{w}`").isNull()).orderBy(place, "__id"))
+                rows = rows.withColumn(f"__n{k}", n).withColumn(w, F.when(F.col(f"__n{k}") <= r.limit, F.col(f"`{w}`")))
+            rows = rows.where(F.coalesce(*[F.col(f"`{w}`") for w in wanted]).isNotNull())
+            first = lambda k, w: F.transform(F.sort_array(F.filter(F.collect_list(F.when(F.col(f"`{w}`").isNotNull(), F.struct(F.col(f"__n{k}").alias("n"), F.col(f"`{w}`").alias("v")))), lambda x: x.isNotNull())), lambda x: x["v"])
+            rows = rows.groupBy("__fk").agg(*[F.array_join(first(k, w), " ").alias(f"{r.name}.{w}") for k, w in enumerate(wanted)])
         else:
             rows = r.rows.select(key, *[F.col(w).cast("string").alias(f"{r.name}.{w}") for w in wanted])
         records = records.join(rows, F.col(f"`{r.local_key}`") == F.col("__fk"), "left").drop("__fk")
@@ -60,7 +62,7 @@ def rows(records: DataFrame, spec: SearchableSpec, config: Config = Config(), te
     weight = lambda c: min(max(c.weight, 1), config.max_weight)
 
     def analysed(c: ColumnSpec) -> Column:
-        return analysis.analyze(F.col(f"`{c.name}`"), config.analyzer, config.stopword_locales, config.dedupe_on_stopwords, c.locale)
+        return analysis.analyzed(F.col(f"`{c.name}`"), config.analyzer, config.stopword_locales, config.dedupe_on_stopwords, c.locale)
 
     staged = once(docs.select("doc_id", title_of(spec).alias("title"), *[analysed(c).alias(f"a{k}") for k, c in enumerate(spec.columns)]))
     texts, toks = [], []
@@ -71,7 +73,15 @@ def rows(records: DataFrame, spec: SearchableSpec, config: Config = Config(), te
         for name in own:
             parts += [analysis.tokens(F.col(name)), F.array(F.lit(""))]
         toks.append((F.concat(*parts[:-1]) if own else F.array().cast("array<string>")).alias(f"tok_w{w}"))
-    return once(staged.select(F.lit(tenant).alias("tenant"), F.lit(spec.model).alias("model"), "doc_id", "title", *texts, *toks, (synced_at if synced_at is not None else F.lit(None).cast("timestamp")).alias("last_synced_at")))
+    at = (synced_at if synced_at is not None else F.lit(None).cast("timestamp")).alias("last_synced_at")
+    made = once(staged.select(F.lit(tenant).alias("tenant"), F.lit(spec.model).alias("model"), "doc_id", "title", *texts, *toks, at))
+    return with_lengths(made, config)
+
+
+def with_lengths(frame: DataFrame, config: Config = Config()) -> DataFrame:
+    """Index rows with the number of tokens of each bucket, null for a bucket without text."""
+    length = lambda w: F.when(F.col(f"text_w{w}") != "", F.size(F.filter(F.col(f"tok_w{w}"), lambda t: t != "")))
+    return frame.withColumns({f"len_w{w}": length(w) for w in range(1, config.max_weight + 1)})
 
 
 def words_of(config: Config = Config()) -> Column:
@@ -94,10 +104,13 @@ def postings(index: DataFrame, config: Config = Config()) -> DataFrame:
     every = None
     for w in range(1, config.max_weight + 1):
         own = F.filter(F.col(f"tok_w{w}"), lambda t: t != "")
-        part = index.select("tenant", "model", "doc_id", F.lit(w).alias("w"), F.size(own).alias("dl"), own.alias("own"))
-        part = part.where(F.size("own") > 0).select("tenant", "model", "doc_id", "w", "dl", F.explode("own").alias("term"))
-        every = part if every is None else every.unionByName(part)
-    return every.groupBy("tenant", "model", "term", "doc_id", "w", "dl").agg(F.count("*").cast("int").alias("tf"))
+        part = index.where(F.size(f"tok_w{w}") > 0).select("tenant", "model", "doc_id", F.size(own).alias("dl"), own.alias("own"))
+        part = part.select("tenant", "model", "doc_id", "dl", F.explode("own").alias("term"))
+        # a document is a row, so that its terms are counted before anything is shuffled
+        counted = part.groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"), *[F.first(c).alias(c) for c in ("tenant", "model", "dl")])
+        counted = counted.select("tenant", "model", "term", "doc_id", F.lit(w).alias("w"), "tf", "dl")
+        every = counted if every is None else every.unionByName(counted)
+    return every
 
 
 def vocabulary(index: DataFrame, config: Config = Config()) -> DataFrame:
@@ -114,12 +127,13 @@ def vocabulary_trigrams(vocab: DataFrame) -> DataFrame:
 class Index:
     """An index's tables, from rows in memory or from a written version."""
 
-    def __init__(self, frame: DataFrame, spec: SearchableSpec, config: Config = Config(), tenant: str = "default", source: DataFrame | None = None, tables: dict[str, DataFrame] | None = None):
+    def __init__(self, frame: DataFrame, spec: SearchableSpec, config: Config = Config(), tenant: str = "default", source: DataFrame | None = None, tables: dict[str, DataFrame] | None = None, figures: tuple[int, float] | None = None, version: int | None = None):
         if not tenant:
             raise ValueError("an index belongs to a tenant")
         self.spec, self.config, self.tenant, self.source = spec, config, tenant, source
         self.rows = frame.where(F.col("tenant") == tenant)
         self._tables = tables or {}
+        self._figures, self.version = figures, version
 
     @staticmethod
     def over(records: DataFrame, spec: SearchableSpec, config: Config = Config(), tenant: str = "default", **more) -> Index:
@@ -135,10 +149,21 @@ class Index:
 
     @cached_property
     def _stats(self) -> tuple[int, float]:
+        if self._figures is not None:
+            return self._figures
         # one row; with the words of a query's terms it would be one more scan, so it is kept
         row = self.table("stats").agg(F.sum("doc_count"), F.sum(F.col("avg_len") * F.col("doc_count")) / F.sum("doc_count")).first()
         return int(row[0] or 0), float(row[1] or 0.0)
 
+    def with_source(self, source: DataFrame) -> Index:
+        """The same index over other records of the same keys."""
+        return Index(self.rows, self.spec, self.config, self.tenant, source, self._tables, self._figures, self.version)
+
+    @property
+    def written(self) -> bool:
+        """Whether the index has postings of its own, so that a query need not read all rows."""
+        return "postings" in self._tables
+
     @property
     def doc_count(self) -> int:
         return self._stats[0]
@@ -158,162 +183,32 @@ class Index:
         return int(row[0]), float(row[1] or 0.0), {w: int(row[2 + k] or 0) for k, w in enumerate(words)}
 
 
-class IndexStore:
-    """Index versions as Parquet under one folder: tenant / model / version, and a pointer to the current one.
-
-    A version is written whole and then pointed to, so readers never see half of one; the version before stays until
-    the next rebuild, for readers that still use it.
-    """
-
-    TABLES = ("index", "stats", "term_df", "postings", "vocab", "vocab_tri")
-
-    def __init__(self, spark: SparkSession, root: str, config: Config = Config()):
-        self.spark, self.root, self.config = spark, root.rstrip("/"), config
-
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def folder(self, tenant: str, model: str) -> str:
-        if not tenant or not model or any(c in "/\\" or ord(c) < 32 for c in tenant + model) or ".." in (tenant, model):
-            raise ValueError("tenant and model are names without slashes")
-        return f"{self.root}/tenant={tenant}/model={model}"
-
-    def meta(self, tenant: str, model: str) -> dict | None:
-        fs, p = self._fs(f"{self.folder(tenant, model)}/CURRENT")
-        if not fs.exists(p):
-            return None
-        stream = fs.open(p)
-        try:
-            jvm = self.spark.sparkContext._jvm
-            return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _point(self, tenant: str, model: str, meta: dict) -> None:
-        fs, p = self._fs(f"{self.folder(tenant, model)}/CURRENT")
-        _, fresh = self._fs(f"{self.folder(tenant, model)}/_CURRENT.new")
-        out = fs.create(fresh, True)
-        out.write(bytearray(json.dumps(meta).encode()))
-        out.close()
-        fs.delete(p, False)
-        fs.rename(fresh, p)
-
-    def exists(self, tenant: str, model: str) -> bool:
-        return self.meta(tenant, model) is not None
-
-    def models(self, tenant: str) -> list[str]:
-        fs, p = self._fs(f"{self.root}/tenant={tenant}")
-        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-        return sorted(n[len("model=") :] for n in names if n.startswith("model=") and self.exists(tenant, n[len("model=") :]))
-
-    def write(self, frame: DataFrame, spec: SearchableSpec, tenant: str = "default", synced_at: str | None = None) -> int:
-        """A new version of a model's index from index rows; its number."""
-        before = self.meta(tenant, spec.model)
-        version = (before["version"] if before else 0) + 1
-        base = f"{self.folder(tenant, spec.model)}/v{version}"
-        frame.write.mode("overwrite").parquet(f"{base}/index")
-        index = Index(self.spark.read.parquet(f"{base}/index"), spec, self.config, tenant)
-        index.table("stats").write.mode("overwrite").parquet(f"{base}/stats")
-        index.table("postings").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{base}/postings")
-        posted = self.spark.read.parquet(f"{base}/postings")
-        counts = posted.groupBy("tenant", "model", "term").agg(F.countDistinct("doc_id").alias("df"))
-        counts.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{base}/term_df")
-        words = self.spark.read.parquet(f"{base}/term_df").groupBy("tenant", F.col("term").alias("word")).agg(F.sum("df").alias("doc_count"))
-        vocab = words.select("tenant", "word", analysis.transliterate(F.col("word")).alias("ascii_word"), "doc_count")
-        vocab.repartitionByRange("ascii_word").sortWithinPartitions("ascii_word").write.mode("overwrite").parquet(f"{base}/vocab")
-        vocabulary_trigrams(self.spark.read.parquet(f"{base}/vocab")).repartitionByRange("trigram").sortWithinPartitions("trigram").write.mode("overwrite").parquet(f"{base}/vocab_tri")
-        self._point(tenant, spec.model, {"version": version, "schema_version": 1, "columns": {c.name: c.weight for c in spec.columns}, "last_synced_at": synced_at})
-        if version > 2:
-            fs, old = self._fs(f"{self.folder(tenant, spec.model)}/v{version - 2}")
-            fs.delete(old, True)
-        return version
-
-    def load(self, spec: SearchableSpec, tenant: str = "default", source: DataFrame | None = None) -> Index:
-        meta = self.meta(tenant, spec.model)
-        if meta is None:
-            raise LookupError(f"no index of {spec.model} for tenant {tenant}")
-        base = f"{self.folder(tenant, spec.model)}/v{meta['version']}"
-        tables = {t: self.spark.read.parquet(f"{base}/{t}") for t in self.TABLES}
-        return Index(tables.pop("index"), spec, self.config, tenant, source, tables)
-
-    def rebuild(self, records: DataFrame, spec: SearchableSpec, tenant: str = "default", synced_at: str | None = None) -> int:
-        at = F.lit(synced_at).cast("timestamp") if synced_at else F.current_timestamp()
-        return self.write(rows(records, spec, self.config, tenant, at), spec, tenant, synced_at)
-
-    def upsert(self, records: DataFrame, spec: SearchableSpec, tenant: str = "default", synced_at: str | None = None) -> int:
-        """The index with these records added or replaced; those that shouldn't be indexed any more are removed."""
-        at = F.lit(synced_at).cast("timestamp") if synced_at else F.current_timestamp()
-        keys = records.select(F.col(spec.key).cast("string").alias("doc_id")).distinct()
-        old = self.load(spec, tenant).rows.join(keys, "doc_id", "left_anti")
-        return self.write(old.unionByName(rows(records, spec, self.config, tenant, at)), spec, tenant, synced_at)
-
-    def delete(self, keys: DataFrame, spec: SearchableSpec, tenant: str = "default", synced_at: str | None = None) -> int:
-        """The index without the records whose keys are in the one column of keys."""
-        gone = keys.select(keys[keys.columns[0]].cast("string").alias("doc_id")).distinct()
-        return self.write(self.load(spec, tenant).rows.join(gone, "doc_id", "left_anti"), spec, tenant, synced_at)
-
-    def prune(self, spec: SearchableSpec, tenant: str = "default", keep: int | None = None) -> int:
-        keep = self.config.max_documents if keep is None else keep
-        current = self.load(spec, tenant).rows
-        return self.write(pruned(current, keep), spec, tenant, (self.meta(tenant, spec.model) or {}).get("last_synced_at"))
-
-    def optimize(self, spec: SearchableSpec, tenant: str = "default", files: int = 1) -> int:
-        return self.write(self.load(spec, tenant).rows.coalesce(files), spec, tenant, (self.meta(tenant, spec.model) or {}).get("last_synced_at"))
-
-    def drop(self, tenant: str, model: str) -> None:
-        fs, p = self._fs(self.folder(tenant, model))
-        fs.delete(p, True)
-
-    def check_schema(self, specs: list[SearchableSpec], tenant: str = "default") -> dict[str, str]:
-        """``ok``, ``missing`` or ``drift`` by model."""
-        found = {}
-        for spec in specs:
-            meta = self.meta(tenant, spec.model)
-            found[spec.model] = "missing" if meta is None else "ok" if meta["columns"] == {c.name: c.weight for c in spec.columns} else "drift"
-        return found
-
-    def drop_orphans(self, specs: list[SearchableSpec], tenant: str = "default") -> list[str]:
-        """Drops the indexes of models that aren't in specs; their names."""
-        gone = sorted(set(self.models(tenant)) - {s.model for s in specs})
-        for model in gone:
-            self.drop(tenant, model)
-        return gone
-
-    def integrity(self, spec: SearchableSpec, tenant: str = "default") -> list[str]:
-        """What is wrong with an index; nothing, if all is well."""
-        index, problems = self.load(spec, tenant), []
-        total, keys, nulls = index.rows.agg(F.count("*"), F.countDistinct("doc_id"), F.sum(F.col("doc_id").isNull().cast("long"))).first()
-        if nulls:
-            problems.append(f"{nulls} rows without a key")
-        if keys + (nulls or 0) != total:
-            problems.append(f"{total - keys - (nulls or 0)} repeated keys")
-        if index.doc_count != total:
-            problems.append(f"statistics say {index.doc_count} documents, there are {total}")
-        return problems
-
-    def status(self, tenant: str = "default") -> DataFrame:
-        """(model, version, documents, last_synced_at)"""
-        out = []
-        for model in self.models(tenant):
-            meta = self.meta(tenant, model)
-            count = self.spark.read.parquet(f"{self.folder(tenant, model)}/v{meta['version']}/stats").agg(F.sum("doc_count")).first()[0]
-            out.append((model, meta["version"], int(count or 0), meta["last_synced_at"]))
-        return self.spark.createDataFrame(out, "model string, version int, documents long, last_synced_at string")
-
-
 def numeric_key(c: Column) -> Column:
     """Keys that are all digits in the order of their numbers, after all others."""
     return F.when(F.regexp_like(c, F.lit(r"^\d{1,18}$")), F.try_to_number(c, F.lit("9" * 18)).cast("long"))
 
 
 def pruned(index: DataFrame, keep: int) -> DataFrame:
-    """The rows of the ``keep`` highest keys of each model; all if keep is 0."""
+    """The rows of the ``keep`` highest keys of a model's index; all if keep is 0.
+
+    The lowest of these keys is found on the keys alone, by a limited sort, and then every row is held against it.
+    """
     if keep <= 0:
         return index
-    w = Window.partitionBy("tenant", "model").orderBy(numeric_key(F.col("doc_id")).desc_nulls_last(), F.desc("doc_id"))
-    return index.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= keep).drop("__n")
+    order = lambda number: F.struct(number.isNotNull().alias("numeric"), number.alias("number"), F.col("doc_id").alias("key"))
+    own = order(numeric_key(F.col("doc_id")))
+    highest = index.select(own.alias("k")).orderBy(F.desc("k")).limit(keep)
+    last = highest.agg(F.count("*").alias("n"), F.min("k").alias("k")).first()
+    if last["n"] < keep:
+        return index
+    border = F.struct(F.lit(last["k"]["numeric"]).alias("numeric"), F.lit(last["k"]["number"]).cast("long").alias("number"), F.lit(last["k"]["key"]).alias("key"))
+    return index.where(own >= border)
+
+
+def orphans(index: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """The index rows whose record is gone."""
+    there = records.select(F.col(f"`{key}`").cast("string").alias("doc_id")).distinct()
+    return index.join(there, "doc_id", "left_anti")
 
 
 def latest_changes(changes: DataFrame, key: str = "doc_id", at: str = "ts", order: str | None = None) -> DataFrame:

@@ -79,10 +79,26 @@ def empty_rate(queries: DataFrame, results: DataFrame, existing: DataFrame) -> D
 
 
 def percentiles(latencies: DataFrame, column: str, ranks: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """One row with p50, p95, …: the nearest rank, not an interpolation."""
-    ordered = latencies.agg(F.sort_array(F.collect_list(column)).alias("l"))
-    at = lambda p: F.when(F.size("l") > 0, F.element_at("l", F.ceil(F.size("l") * F.lit(p)).cast("int")))
-    return ordered.select(*[at(p).alias(f"p{round(p * 100)}") for p in ranks])
+    """One row with p50, p95, …: the nearest rank, not an interpolation.
+
+    Values are counted and sorted over the cluster; what is summed up in order on the driver is a row a partition.
+    """
+    spark = latencies.sparkSession
+    counted = latencies.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    part = F.spark_partition_id()
+    ordered = counted.repartitionByRange("v").select("v", "n", part.alias("p"))
+    sizes = sorted(map(tuple, ordered.groupBy("p").agg(F.min("v"), F.max("v"), F.sum("n")).collect()))
+    total, out = sum(s[3] for s in sizes), {}
+    for rank in ranks:
+        want, before = max(1, -int(-total * rank // 1)), 0
+        for _, low, high, n in sizes:
+            if before + n >= want:
+                own = counted.where(F.col("v").between(low, high)).withColumn("c", before + F.sum("n").over(Window.orderBy("v")))
+                out[f"p{round(rank * 100)}"] = own.where(F.col("c") >= want).agg(F.min("v")).first()[0]
+                break
+            before += n
+    kind = latencies.schema[column].dataType.simpleString()
+    return spark.createDataFrame([tuple(out.get(f"p{round(r * 100)}") for r in ranks)], ", ".join(f"p{round(r * 100)} {kind}" for r in ranks))
 
 
 def suggestion_metrics(suggestions: DataFrame, expected: DataFrame, max_distance: int = 2, k: int = 5) -> DataFrame:
@@ -111,6 +127,38 @@ def suggestion_metrics(suggestions: DataFrame, expected: DataFrame, max_distance
     return by_query.agg(*[F.round(F.avg(n), 6).alias(n) for n in names])
 
 
+def size_share(texts: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(model, chars, share) of the text columns of some tables: a row a table."""
+    every = None
+    for name, (df, column) in texts.items():
+        one = df.agg(F.coalesce(F.sum(F.length(column)), F.lit(0)).alias("chars")).select(F.lit(name).alias("model"), "chars")
+        every = one if every is None else every.unionByName(one)
+    return every.withColumn("share", F.col("chars") / F.sum("chars").over(Window.partitionBy()))
+
+
+def vocabulary_bands(index, frequent: float = 0.3, rare: float = 0.05) -> DataFrame:
+    """(band, words): words in more than ``frequent`` of the documents, in at most ``rare`` of them, and between."""
+    n = index.doc_count
+    band = F.when(F.col("df") > frequent * n, "frequent").when(F.col("df") <= rare * n, "rare").otherwise("middle")
+    return index.table("term_df").groupBy(band.alias("band")).agg(F.count("*").alias("words"))
+
+
+def metric_text(search_text: Column | None, buckets: list[Column], named: list[Column], summary: Column | None) -> Column:
+    """The text that relevance is judged by: the first that isn't empty of search text, buckets, named columns, summary."""
+    joined = [F.concat_ws(" ", *c) for c in (buckets, named) if c]
+    order = [c for c in (search_text, *joined, summary) if c is not None]
+    return F.coalesce(*[F.when(F.trim(c) != "", c) for c in order], F.lit(""))
+
+
+def tolerance(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """(query, tolerant): whether a query and its variant (query, variant) find the same documents of found (query, doc_id)."""
+    own = pairs.join(found, "query").select("query", "doc_id", F.lit(1).alias("a"), F.lit(0).alias("b"))
+    other = pairs.join(found.withColumnRenamed("query", "variant"), "variant").select("query", "doc_id", F.lit(0).alias("a"), F.lit(1).alias("b"))
+    both = own.unionByName(other).groupBy("query", "doc_id").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    same = both.groupBy("query").agg((F.min("a") + F.min("b") == 2).alias("same"))
+    return pairs.select("query").distinct().join(same, "query", "left").select("query", F.coalesce("same", F.lit(False)).alias("tolerant"))
+
+
 def capacity(rates: DataFrame) -> DataFrame:
     """Derived figures of (volume, queries_per_s, index_bytes, docs_per_s): requests a day at 30 % load, KB a document, seconds to rebuild."""
     return rates.select(

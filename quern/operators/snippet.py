@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -43,9 +42,3 @@ def snippet(columns: list[Column], terms: list[str]) -> Column:
     window = F.substring(text, start + 1, F.lit(WINDOW))
     cut = F.concat(F.when(start > 0, "…").otherwise(""), window, F.when(start + WINDOW < F.length(text), "…").otherwise(""))
     return F.when(text.isNotNull(), marked(cut, terms))
-
-
-def marked_py(text: str, terms: list[str]) -> str:
-    for term in terms:
-        text = re.sub(re.escape(term), lambda m: f"<mark>{m[0]}</mark>", text, flags=re.I)
-    return text

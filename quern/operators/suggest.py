@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,11 +24,16 @@ def _ranked(candidates: DataFrame, ascii_query: str, scripts: list[str], max_dis
     return candidates.where((F.length("word") >= 2) & distance.between(1, max_distance)).select("word", "doc_count", score.alias("score"))
 
 
+def shared_trigrams(tri: DataFrame, ascii_query: str) -> DataFrame:
+    """(word, ascii_word, shared, doc_count, avg_docs) of the words that share at least two trigrams with the query."""
+    wanted = analysis.trigrams_py(ascii_query)
+    shared = tri.where(F.col("trigram").isin(wanted)).groupBy("word", "ascii_word").agg(F.count("*").alias("shared"), F.max("doc_count").alias("doc_count"), F.avg("doc_count").alias("avg_docs"))
+    return shared.where(F.col("shared") >= min(2, len(wanted)))
+
+
 def trigram_candidates(tri: DataFrame, ascii_query: str, limit: int | None = None) -> DataFrame:
     """(word, ascii_word, doc_count) of words that share at least two trigrams with the query; the most frequent 3 * limit."""
-    wanted = analysis.trigrams_py(ascii_query)
-    shared = tri.where(F.col("trigram").isin(wanted)).groupBy("word", "ascii_word").agg(F.count("*").alias("n"), F.max("doc_count").alias("doc_count"))
-    found = shared.where(F.col("n") >= min(2, len(wanted))).select("word", "ascii_word", "doc_count")
+    found = shared_trigrams(tri, ascii_query).select("word", "ascii_word", "doc_count")
     return found.orderBy(F.desc("doc_count"), "word").limit(3 * limit) if limit else found
 
 
@@ -35,16 +43,27 @@ def prefix_candidates(vocab: DataFrame, ascii_query: str, limit: int | None = No
     return found.orderBy(F.desc("doc_count"), "word").limit(limit) if limit else found
 
 
-def suggest_term(index: Index, query: str, max_distance: int = 2, limit: int = 5) -> DataFrame:
+@dataclass(frozen=True)
+class Hooks:
+    """What an application may put in place of a step: candidates (index, ASCII query) -> (word, ascii_word, doc_count)."""
+
+    trigram: Callable[[Index, str], DataFrame] = lambda index, q: trigram_candidates(index.table("vocab_tri"), q)
+    prefix: Callable[[Index, str], DataFrame] = lambda index, q: prefix_candidates(index.table("vocab"), q, index.config.vocab_limit)
+    before: Callable[[str], str] = lambda query: query
+    after: Callable[[DataFrame], DataFrame] = lambda found: found
+
+
+def suggest_term(index: Index, query: str, max_distance: int = 2, limit: int = 5, hooks: Hooks = Hooks()) -> DataFrame:
     """(word, phase, score, doc_count), best first: trigram candidates before prefix candidates."""
     spark = index.rows.sparkSession
+    query = hooks.before(query)
     if len(query.strip()) < 2:
         return spark.createDataFrame([], "word string, phase int, score int, doc_count long")
     ascii_query, scripts = analysis.transliterate_py(query), analysis.scripts_py(query)
-    one = _ranked(trigram_candidates(index.table("vocab_tri"), ascii_query), ascii_query, scripts, max_distance).withColumn("phase", F.lit(1))
-    two = _ranked(prefix_candidates(index.table("vocab"), ascii_query, index.config.vocab_limit), ascii_query, scripts, max_distance).withColumn("phase", F.lit(2))
+    one = _ranked(hooks.trigram(index, ascii_query), ascii_query, scripts, max_distance).withColumn("phase", F.lit(1))
+    two = _ranked(hooks.prefix(index, ascii_query), ascii_query, scripts, max_distance).withColumn("phase", F.lit(2))
     best = one.unionByName(two).groupBy("word").agg(F.min("phase").alias("phase"), F.min("score").alias("score"), F.max("doc_count").alias("doc_count"))
-    return best.orderBy("phase", "score", F.desc("doc_count"), "word").limit(limit)
+    return hooks.after(best).orderBy("phase", "score", F.desc("doc_count"), "word").limit(limit)
 
 
 def did_you_mean(index: Index, query: str, max_distance: int = 2, limit: int = 5) -> list[str]:
@@ -71,7 +90,3 @@ def suggest_many(vocab: DataFrame, queries: DataFrame, max_distance: int = 2, li
     scored = shared.where((F.col("n") >= 2) & distance.between(1, max_distance)).select("query", "word", "doc_count", (distance + F.when(same, 0).otherwise(PENALTY)).alias("score"))
     w = Window.partitionBy("query").orderBy("score", F.desc("doc_count"), "word")
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select("query", "place", "word", "score")
-
-
-def empty(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "query string, place int, word string, score int")

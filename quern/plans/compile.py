@@ -102,10 +102,11 @@ def normalized(raw: Column, docs: Column, config: Config) -> Column:
     return F.least(F.round(raw / top * 100, 1), F.lit(100.0))
 
 
-def weighted(fields: dict[int, Column]) -> Column:
+def weighted(fields: dict[int, Column], present: dict[int, Column] | None = None) -> Column:
     """The mean of the fields' scores by weight, over the buckets that aren't empty."""
-    total = reduce(add, [F.when(text(w) != "", w * s).otherwise(0.0) for w, s in fields.items()])
-    weight = reduce(add, [F.when(text(w) != "", w).otherwise(0) for w in fields])
+    present = present or {w: text(w) != "" for w in fields}
+    total = reduce(add, [F.when(present[w], w * s).otherwise(0.0) for w, s in fields.items()])
+    weight = reduce(add, [F.when(present[w], w).otherwise(0) for w in fields])
     return F.when(weight > 0, total / weight).otherwise(0.0)
 
 
@@ -113,22 +114,29 @@ def starting(word: str):
     return lambda t: F.startswith(t, F.lit(word))
 
 
+def quick_of(counts: list[tuple[Column, Column]]) -> Column:
+    """The quick score of words by (occurrences, tokens that begin with the word)."""
+    parts = [F.when(exact > 0, exact.cast("double")).otherwise(F.least(begins * 0.1, F.lit(1.0))) for exact, begins in counts]
+    return reduce(add, parts, F.lit(0.0))
+
+
 def quick(words: list[str], config: Config) -> Column:
     """Occurrences of each word; where there are none, a tenth for each token it begins, 1 at most."""
     tokens = all_tokens(config)
-    parts = []
-    for word in words:
-        exact = occurrences(tokens, word)
-        begins = F.size(F.filter(tokens, starting(word)))
-        parts.append(F.when(exact > 0, exact.cast("double")).otherwise(F.least(begins * 0.1, F.lit(1.0))))
-    return reduce(add, parts, F.lit(0.0))
+    return quick_of([(occurrences(tokens, w), F.size(F.filter(tokens, starting(w)))) for w in words])
+
+
+def rank_of(fields: dict[int, list[Column]], lengths: dict[int, Column], present: dict[int, Column], words: list[str], score: Column, df: dict[str, int], docs: int, avgdl: float, config: Config) -> Column:
+    """Weighted BM25 on 0 to 100 from the words' frequencies by bucket, or ``score`` where BM25 has nothing."""
+    n = F.lit(float(docs))
+    weights = [idf(F.lit(float(df.get(t, 0))), n) for t in words]
+    raw = weighted({w: bm25_field(tf, weights, lengths[w], float(avgdl or 1.0), config) for w, tf in fields.items()}, present)
+    return F.when(raw > 0, normalized(raw, n, config)).otherwise(F.round(score, 4))
 
 
 def rank(query: ParsedQuery, df: dict[str, int], docs: int, avgdl: float, config: Config) -> Column:
-    """Weighted BM25 on 0 to 100, or the quick score where BM25 has nothing."""
+    """The rank of index rows."""
     words = query.words()
-    n, avg = F.lit(float(docs)), float(avgdl or 1.0)
-    weights = [idf(F.lit(float(df.get(t, 0))), n) for t in words]
-    fields = {w: bm25_field([occurrences(tok(w), t) for t in words], weights, F.size(F.filter(tok(w), lambda t: t != "")), avg, config) for w in buckets(config)}
-    raw = weighted(fields)
-    return F.when(raw > 0, normalized(raw, n, config)).otherwise(F.round(quick([t.text for t in query.positive], config), 4))
+    fields = {w: [occurrences(tok(w), t) for t in words] for w in buckets(config)}
+    lengths = {w: F.size(F.filter(tok(w), lambda t: t != "")) for w in buckets(config)}
+    return rank_of(fields, lengths, {w: text(w) != "" for w in buckets(config)}, words, quick([t.text for t in query.positive], config), df, docs, avgdl, config)

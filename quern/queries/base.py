@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.index import Index, rows
+from quern.operators.index import Index
 from quern.operators.search import Search, search
+from quern.operators.store import IndexStore
 from quern.session import shared_folder
 from quern.sources.io import table
 from quern.spec import ColumnSpec, Config, SearchableSpec
@@ -19,17 +21,27 @@ CONVERSATIONS = SearchableSpec("conversations", "key", (ColumnSpec("text"),))
 WIDE = Config(max_results=1_000_000)
 
 
-_BUILT: dict[tuple, str] = {}
+_STORES: dict[tuple, IndexStore] = {}
 
 
-def built(spark: SparkSession, sf: str, records: DataFrame, spec: SearchableSpec, config: Config) -> Index:
-    """The index of a table's records, written to the shared folder by the first query of a session that needs it."""
-    key = (spark.sparkContext.applicationId, sf, spec.model, repr(config))
-    if key not in _BUILT:
-        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        rows(records, spec, config).write.parquet(path)
-        _BUILT[key] = path
-    return Index(spark.read.parquet(_BUILT[key]), spec, config, source=records)
+def store(spark: SparkSession, config: Config = WIDE) -> IndexStore:
+    """A store of this session in the shared folder; it goes when the session ends."""
+    key = (spark.sparkContext.applicationId, repr(config))
+    if key not in _STORES:
+        root = f"{shared_folder(spark)}/indexes-{uuid.uuid4().hex}"
+        _STORES[key] = IndexStore(spark, root, config)
+        fs, path = _STORES[key]._fs(root)
+        fs.deleteOnExit(path)
+    return _STORES[key]
+
+
+def built(spark: SparkSession, sf: str, records: DataFrame, spec: SearchableSpec, config: Config, tenant: str | None = None) -> Index:
+    """The written index of a table's records; the first query of a session that needs it writes it."""
+    analysis = replace(Config(), max_weight=config.max_weight, analyzer=config.analyzer, stopword_locales=config.stopword_locales, dedupe_on_stopwords=config.dedupe_on_stopwords)
+    own, tenant = store(spark, analysis), tenant or sf.strip("/").replace("/", "_")
+    if not own.exists(tenant, spec.model):
+        own.rebuild(records, spec, tenant)
+    return own.load(spec, tenant, records, config)
 
 
 def documents(spark: SparkSession, sf: str, config: Config = WIDE) -> Index:

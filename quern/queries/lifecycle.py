@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 from quern.catalogue import register
 from quern.functions import analysis
 from quern.operators import index as ix
+from quern.operators import metrics, suggest
 from quern.operators.index import Index
-from quern.queries.base import D, WIDE, documents, messages, parts, toks
+from quern.operators.store import IndexStore, integrity_figures
+from quern.queries.base import D, P, WIDE, documents, messages, parts, store, toks
 from quern.sources import io
 from quern.sources.io import table
+from quern.spec import Config, SearchableSpec
+from quern.streaming.sync import merged
 
 _DF = "SELECT term, CAST(count(*) AS BIGINT) AS df FROM (SELECT DISTINCT doc_id, unnest(tok) AS term FROM d) GROUP BY term"
 
@@ -27,18 +31,16 @@ def index_stats(spark, sf):
 
 @register("agg_models", "SELECT 'conversations' AS model, (SELECT CAST(count(*) AS BIGINT) FROM conversations) AS n UNION ALL SELECT 'documents', (SELECT CAST(count(*) AS BIGINT) FROM documents)")
 def models(spark, sf):
-    both = documents(spark, sf).rows.select("model").unionByName(messages(spark, sf).rows.select("model"))
-    return both.groupBy("model").agg(F.count("*").alias("n"))
+    own = documents(spark, sf), messages(spark, sf)
+    found = store(spark, Config()).status(own[0].tenant).where(F.col("model").isin([i.spec.model for i in own]))
+    return found.select("model", F.col("documents").alias("n"))
 
 
 @register("agg_size_share", """
 WITH n AS (SELECT 'documents' AS model, sum(length(text)) AS c FROM documents UNION ALL SELECT 'conversations', sum(length(text)) FROM conversations)
 SELECT model, CAST(c AS BIGINT) AS chars, round(c / sum(c) OVER (), 6) AS share FROM n""")
 def size_share(spark, sf):
-    sizes = [table(spark, sf, t).agg(F.sum(F.length("text")).alias("chars")).select(F.lit(t).alias("model"), "chars") for t in ("documents", "conversations")]
-    both = sizes[0].unionByName(sizes[1])
-    total = both.agg(F.sum("chars").alias("total"))
-    return both.crossJoin(F.broadcast(total)).select("model", "chars", F.round(F.col("chars") / F.col("total"), 6).alias("share"))
+    return metrics.size_share({t: (table(spark, sf, t), "text") for t in ("documents", "conversations")}).select("model", "chars", F.round("share", 6).alias("share"))
 
 
 @register("agg_vocabulary", f"WITH {D} SELECT term AS word, replace(term, 'ß', 'ss') AS ascii_word, df AS doc_count FROM ({_DF})")
@@ -58,18 +60,15 @@ def trigram_words(spark, sf):
 WITH {D}, df AS ({_DF}), t AS (SELECT DISTINCT term, df, substr('#' || replace(term, 'ß', 'ss') || '#', i, 3) AS g FROM (SELECT term, df, unnest(range(1, CAST(length(replace(term, 'ß', 'ss')) + 1 AS BIGINT))) AS i FROM df))
 SELECT term AS word, CAST(count(*) AS BIGINT) AS shared, round(avg(df), 6) AS avg_docs FROM t WHERE g IN ('#mo', 'mor', 'oro', 'ron', 'on#') GROUP BY term HAVING count(*) >= 2""")
 def candidate_words(spark, sf):
-    tri = documents(spark, sf).table("vocab_tri").where(F.col("trigram").isin(analysis.trigrams_py("moron")))
-    return tri.groupBy("word").agg(F.count("*").alias("shared"), F.round(F.avg("doc_count"), 6).alias("avg_docs")).where("shared >= 2")
+    found = suggest.shared_trigrams(documents(spark, sf).table("vocab_tri"), "moron")
+    return found.select("word", "shared", F.round("avg_docs", 6).alias("avg_docs"))
 
 
 @register("agg_vocabulary_bands", f"""
 WITH {D}, df AS ({_DF}) SELECT CASE WHEN df > 0.3 * n THEN 'frequent' WHEN df <= 0.05 * n THEN 'rare' ELSE 'middle' END AS band, CAST(count(*) AS BIGINT) AS words
 FROM df, (SELECT count(*) AS n FROM d) GROUP BY 1""")
 def vocabulary_bands(spark, sf):
-    index = documents(spark, sf)
-    n = index.rows.agg(F.count("*").alias("n"))
-    band = F.when(F.col("df") > 0.3 * F.col("n"), "frequent").when(F.col("df") <= 0.05 * F.col("n"), "rare").otherwise("middle")
-    return index.table("term_df").crossJoin(F.broadcast(n)).groupBy(band.alias("band")).agg(F.count("*").alias("words"))
+    return metrics.vocabulary_bands(documents(spark, sf))
 
 
 @register("agg_postings", f"WITH {D} SELECT doc_id, term, CAST(count(*) AS INT) AS tf, CAST(max(dl) AS INT) AS dl FROM (SELECT doc_id, len(tok) AS dl, unnest(tok) AS term FROM d) GROUP BY doc_id, term")
@@ -96,15 +95,11 @@ WITH last AS (SELECT doc_id, event_type FROM (SELECT *, row_number() OVER (PARTI
 SELECT CAST(doc_id AS VARCHAR) AS doc_id, lower(strip_accents(source)) AS text FROM documents WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT doc_id FROM last)
 UNION ALL SELECT doc_id, lower(event_type) FROM last WHERE event_type <> 'error'""")
 def merge(spark, sf):
-    from quern.operators.index import IndexStore
-    from quern.spec import SearchableSpec
-    from quern.streaming.sync import merged
-
     spec = SearchableSpec.of("m", "doc_id", {"source": 1})
     current = Index.over(table(spark, sf, "documents").select("doc_id", "source"), spec, WIDE).rows
     op = F.when(F.col("event_type") == "error", "delete").otherwise("upsert")
     changes = table(spark, sf, "events").select(op.alias("op"), F.col("user_id").alias("doc_id"), "ts", "event_id", F.col("event_type").alias("source"))
-    return merged(current, changes, spec, IndexStore(spark, "unused", WIDE), "default", "ts", "event_id").select("doc_id", F.col("text_w1").alias("text"))
+    return merged(current, changes, spec, WIDE, "default", "ts", "event_id").select("doc_id", F.col("text_w1").alias("text"))
 
 
 @register("src_since", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-06-01 00:00:00'")
@@ -124,23 +119,122 @@ def first_then_rest(spark, sf):
 
 
 @register("set_word_difference", f"""
-WITH {D} SELECT doc_id, CAST(len(list_filter(list_distinct(tok), lambda t: NOT list_contains(old, t))) AS BIGINT) AS added FROM (
-  SELECT doc_id, tok, {toks('lower(strip_accents(substr(text, 1, 200)))', ready=True)} AS old FROM d)""")
+SELECT CAST(p_partkey AS VARCHAR) AS doc_id, CAST(len(list_filter(list_distinct({toks('p_type')}), lambda t: NOT list_contains({toks('p_name')}, t))) AS BIGINT) AS added FROM part""")
 def word_difference(spark, sf):
-    old = analysis.tokens(F.lower(analysis.fold_accents(F.substring("text", 1, 200))))
-    new = analysis.tokens(analysis.analyze(F.col("text")))
-    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.size(F.array_except(new, old)).cast("long").alias("added"))
+    added = analysis.word_difference(analysis.analyze(F.col("p_name")), analysis.analyze(F.col("p_type")))
+    return table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.size(added).cast("long").alias("added"))
 
 
 @register("idx_integrity", "SELECT CAST(count(*) AS BIGINT) AS row_count, CAST(count(DISTINCT doc_id) AS BIGINT) AS keys, CAST(sum(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls FROM documents")
 def integrity(spark, sf):
-    return documents(spark, sf).rows.agg(F.count("*").alias("row_count"), F.countDistinct("doc_id").alias("keys"), F.sum(F.col("doc_id").isNull().cast("long")).alias("nulls"))
+    return integrity_figures(documents(spark, sf).rows)
 
 
-@register("join_orphans", "SELECT DISTINCT source AS model FROM documents WHERE source NOT IN ('src1', 'src2', 'src3')")
+@register("join_orphans", "SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def orphans(spark, sf):
-    indexed = table(spark, sf, "documents").select(F.col("source").alias("model")).distinct()
-    known = spark.createDataFrame([("src1",), ("src2",), ("src3",)], "model string")
-    return indexed.join(F.broadcast(known), "model", "left_anti")
+    return ix.orphans(documents(spark, sf).rows, table(spark, sf, "labels"), "doc_id").select("doc_id")
+
+
+# --- an index that changes ---------------------------------------------------------------------------------------
+
+_M = SearchableSpec.of("changing", "doc_id", {"source": 1})
+_CHANGED: dict[tuple, IndexStore] = {}
+
+
+def _tenant(sf: str, name: str) -> str:
+    return f"{name}-{sf.strip('/').replace('/', '_')}"
+
+
+def changed(spark, sf) -> Index:
+    """documents by source; then an upsert of the last event of each user, with all its repeated keys; then a delete."""
+    own, tenant = store(spark), _tenant(sf, "changed")
+    if (spark.sparkContext.applicationId, sf) not in _CHANGED:
+        own.rebuild(table(spark, sf, "documents").select("doc_id", "source"), _M, tenant)
+        own.upsert(table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("source"), "event_id"), _M, tenant, order="event_id")
+        own.delete(table(spark, sf, "labels").where("toxic = 1").select("doc_id"), _M, tenant)
+        _CHANGED[spark.sparkContext.applicationId, sf] = own
+    return own.load(_M, tenant)
+
+
+_STATE = """last AS (SELECT user_id AS doc_id, event_type AS source FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k = 1),
+now AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, lower(source) AS text FROM (SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM last) UNION ALL FROM last)
+  WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"""
+_STATE_TOKENS = r"""tok AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}]+'), lambda t: length(t) >= 2))) AS term FROM now)"""
+
+
+@register("idx_changes", f"WITH {_STATE} SELECT doc_id, text FROM now")
+def changes(spark, sf):
+    return changed(spark, sf).rows.select("doc_id", F.col("text_w1").alias("text"))
+
+
+@register("idx_changed_search", f"WITH {_STATE} SELECT doc_id FROM now WHERE starts_with(text, 'src1')")
+def changed_search(spark, sf):
+    from quern.operators.search import search
+
+    return search(changed(spark, sf)).query("src1").ids().select("doc_id")
+
+
+@register("idx_changed_frequencies", f"WITH {_STATE}, {_STATE_TOKENS} SELECT term, CAST(count(*) AS BIGINT) AS df FROM tok GROUP BY term")
+def changed_frequencies(spark, sf):
+    return changed(spark, sf).table("term_df").select("term", "df")
+
+
+@register("idx_changed_vocabulary", f"WITH {_STATE}, {_STATE_TOKENS} SELECT DISTINCT substr('#' || term || '#', i, 3) AS trigram, term AS word, df AS doc_count FROM (SELECT *, unnest(range(1, CAST(length(term) + 1 AS BIGINT))) AS i FROM (SELECT term, CAST(count(*) AS BIGINT) AS df FROM tok GROUP BY term))")
+def changed_vocabulary(spark, sf):
+    return changed(spark, sf).table("vocab_tri").select("trigram", "word", "doc_count")
+
+
+@register("idx_status", f"WITH {_STATE} SELECT 'changing' AS model, 3 AS version, CAST(count(*) AS BIGINT) AS documents, 3 AS segments FROM now")
+def status(spark, sf):
+    changed(spark, sf)
+    return store(spark).status(_tenant(sf, "changed")).drop("last_synced_at")
+
+
+@register("idx_optimize", f"WITH {_STATE} SELECT 1 AS segments, CAST(count(*) AS BIGINT) AS documents, CAST(count(DISTINCT doc_id) AS BIGINT) AS keys FROM now")
+def optimize(spark, sf):
+    own, tenant = store(spark), _tenant(sf, "optimized")
+    own.write(changed(spark, sf).rows, _M, tenant)
+    own.delete(spark.createDataFrame([("no such key",)], "k string"), _M, tenant)
+    own.optimize(_M, tenant)
+    segments = own.status(tenant).first()["segments"]
+    return integrity_figures(own.load(_M, tenant).rows).select(F.lit(segments).alias("segments"), F.col("row_count").alias("documents"), "keys")
+
+
+@register("idx_prune", "SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM documents ORDER BY documents.doc_id DESC LIMIT 70")
+def store_prune(spark, sf):
+    own, tenant = store(spark), _tenant(sf, "pruned")
+    own.rebuild(table(spark, sf, "documents").select("doc_id", "source"), _M, tenant)
+    own.prune(_M, tenant, keep=70)
+    return own.load(_M, tenant).rows.select("doc_id")
+
+
+@register("idx_sync_since", "SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, lower(o_orderpriority) AS text FROM orders")
+def sync_since(spark, sf):
+    own, tenant, spec = store(spark), _tenant(sf, "synced"), SearchableSpec.of("orders", "o_orderkey", {"o_orderpriority": 1})
+    orders, at = table(spark, sf, "orders"), "1998-01-01 00:00:00"
+    own.rebuild(orders.where(F.col("o_orderdate") < F.lit(at).cast("timestamp")), spec, tenant, at)
+    own.sync_since(orders, spec, "o_orderdate", "1999-01-01 00:00:00", tenant=tenant)
+    return own.load(spec, tenant).rows.select("doc_id", F.col("text_w1").alias("text"))
+
+
+@register("idx_unchanged", "SELECT 1 AS first, 1 AS again, 2 AS after")
+def unchanged(spark, sf):
+    own, tenant, records = store(spark), _tenant(sf, "same"), table(spark, sf, "nation")
+    spec = SearchableSpec.of("nation", "n_nationkey", {"n_name": 1})
+    if own.exists(tenant, "nation"):
+        own.drop(tenant, "nation")
+    found = [own.rebuild(r, spec, tenant, unless_same=True) for r in (records, records, records.where("n_nationkey > 0"))]
+    return spark.createDataFrame([tuple(found)], "first int, again int, after int")
+
+
+@register("idx_schema", "SELECT * FROM (VALUES ('documents', 'ok'), ('part', 'drift'), ('absent', 'missing')) t(model, state)")
+def schema(spark, sf):
+    tenant = documents(spark, sf).tenant
+    known = [documents(spark, sf).spec, SearchableSpec.of(parts(spark, sf).spec.model, "p_partkey", {"p_name": 1}), SearchableSpec.of("absent", "k", {"x": 1})]
+    return spark.createDataFrame(list(store(spark, Config()).check_schema(known, tenant).items()), "model string, state string")
 
 
+@register("idx_orphans", "SELECT 'changing' AS model")
+def store_orphans(spark, sf):
+    changed(spark, sf)
+    return spark.createDataFrame([(m,) for m in store(spark).orphans([documents(spark, sf).spec], _tenant(sf, "changed"))], "model string")

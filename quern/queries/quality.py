@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.catalogue import register
-from quern.operators import metrics
+from quern.functions import analysis
+from quern.operators import batch, metrics
+from quern.queries.base import D, begins, documents, find, toks
 from quern.sources.io import table
 
 # A ranking of documents for each source-language pair: by length, judged by their labels.
@@ -95,9 +97,10 @@ SELECT round(avg(p), 6) AS precision, round(avg(sp), 6) AS script_precision, rou
 def suggestions(spark, sf):
     types = table(spark, sf, "part").select(F.lower("p_type").alias("word")).distinct()
     expected = types.select(F.expr("substring(word, 2)").alias("query"), F.col("word").alias("expected"))
-    w = Window.partitionBy("query").orderBy("word")
-    shown = expected.select("query").crossJoin(F.broadcast(types)).withColumn("place", F.row_number().over(w))
-    return metrics.suggestion_metrics(shown, expected)
+    # every word is shown for every query: the words as one list a row (the types of a catalogue are a few)
+    words = types.agg(F.sort_array(F.collect_set("word")).alias("words")).select("words", F.lit(1).alias("k"))
+    shown = expected.select("query", F.lit(1).alias("k")).join(F.broadcast(words), "k").select("query", F.posexplode("words").alias("place", "word"))
+    return metrics.suggestion_metrics(shown.withColumn("place", F.col("place") + 1), expected)
 
 
 @register("met_latency_percentiles", """
@@ -112,17 +115,35 @@ def mean_sigma(spark, sf):
     return metrics.mean_and_sigma(table(spark, sf, "events"), "event_type", "value").select("event_type", F.round("mean", 6).alias("mean"), F.round("sigma", 6).alias("sigma"))
 
 
-@register("met_empty_rate", r"""
-WITH q AS (SELECT item_id AS query_id, text AS query FROM benchmark), e AS (SELECT DISTINCT lower(p_type) AS term FROM part UNION SELECT 'the'),
-a AS (SELECT DISTINCT query_id FROM (SELECT query_id, unnest(regexp_split_to_array(lower(query), '[^\p{L}\p{N}]+')) AS term FROM q) JOIN e USING (term)),
-h AS (SELECT DISTINCT item_id AS query_id FROM benchmark WHERE item_id % 3 = 0)
+@register("met_empty_rate", rf"""
+WITH {D}, q AS (SELECT item_id AS query_id, list_distinct({toks('text')}) AS qt FROM benchmark),
+qt AS (SELECT query_id, len(qt) AS n, unnest(qt) AS term FROM q), po AS (SELECT DISTINCT doc_id, unnest(tok) AS term FROM d),
+a AS (SELECT DISTINCT query_id FROM qt WHERE term IN (SELECT term FROM po)),
+h AS (SELECT DISTINCT query_id FROM (SELECT query_id, doc_id FROM qt JOIN po USING (term) GROUP BY query_id, doc_id, n HAVING count(*) = n))
 SELECT round(coalesce(avg(CASE WHEN h.query_id IS NULL THEN 1.0 ELSE 0.0 END), 0), 6) AS value FROM a LEFT JOIN h USING (query_id)""")
 def empty_rate(spark, sf):
-    items = table(spark, sf, "benchmark")
-    terms = table(spark, sf, "part").select(F.lower("p_type").alias("term")).unionByName(spark.createDataFrame([("the",)], "term string"))
-    answered = items.where("item_id % 3 = 0").select(F.col("item_id").alias("query_id"))
-    queries = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return metrics.empty_rate(queries, answered, terms).select(F.round("value", 6).alias("value"))
+    index, items = documents(spark, sf), table(spark, sf, "benchmark")
+    answered = batch.batch_topk(index, items, "item_id", "text", 1, "and")
+    queries = items.select(F.col("item_id").alias("query_id"), analysis.analyze(F.col("text")).alias("query"))
+    return metrics.empty_rate(queries, answered, index.table("term_df")).select(F.round("value", 6).alias("value"))
+
+
+_PAIRS = [("étré", "etre"), ("WORTHLESS", "worthless"), ("idiot", "clown")]
+
+
+@register("met_accent_tolerance", f"WITH {D} SELECT * FROM (VALUES ('étré', true), ('WORTHLESS', true), ('idiot', (SELECT count(*) = 0 FROM d WHERE ({begins('idiot')}) <> ({begins('clown')})))) t(query, tolerant)")
+def accent_tolerance(spark, sf):
+    index, found = documents(spark, sf), None
+    for q in dict.fromkeys(x for p in _PAIRS for x in p):
+        one = find(index, q).ids().select(F.lit(q).alias("query"), "doc_id")
+        found = one if found is None else found.unionByName(one)
+    return metrics.tolerance(spark.createDataFrame(_PAIRS, "query string, variant string"), found)
+
+
+@register("met_text", "SELECT p_partkey, CASE WHEN p_size > 25 THEN p_name ELSE p_type || ' ' || p_brand END AS text FROM part")
+def metric_text(spark, sf):
+    text = metrics.metric_text(F.when(F.col("p_size") > 25, F.col("p_name")), [F.lit(""), F.lit(" ")], [F.col("p_type"), F.col("p_brand")], None)
+    return table(spark, sf, "part").select("p_partkey", text.alias("text"))
 
 
 @register("met_capacity", """

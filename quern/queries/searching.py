@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from quern.catalogue import register
 from quern.operators import batch, snippet, suggest
+from quern.operators.cache import ResultCache
 from quern.operators.search import search, starts_like
 from quern.plans import compile as plan
-from quern.plans.parser import parse
+from quern.plans.parser import capabilities, parse
 from quern.queries.base import D, P, begins, documents, field_score, find, hits, messages, norm, parts, quick_sql, ranked_sql, scaled, stats_sql, tf, toks
 from quern.sources.io import table
 from quern.spec import Config
@@ -74,6 +75,17 @@ def like_fallback(spark, sf):
     return starts_like(documents(spark, sf), "the").select("doc_id", F.col("rank"))
 
 
+@register("flt_auto_fallback", f"SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM documents WHERE contains({norm('text')}, 'w')")
+def auto_fallback(spark, sf):
+    # one letter is no token, so the search proper finds nothing
+    return find(documents(spark, sf), "ẁ").fallback().ids().select("doc_id")
+
+
+@register("qry_capabilities", "SELECT * FROM (VALUES ('AND', true), ('OR', false), ('NOT', true), ('NEAR', false), ('PHRASE', true), ('PREFIX', true), ('COLUMN', true)) t(operator, available)")
+def query_capabilities(spark, sf):
+    return spark.createDataFrame(list(capabilities(Config(operators=("AND", "NOT"))).items()), "operator string, available boolean")
+
+
 # --- ranking -----------------------------------------------------------------------------------------------------
 
 _W = ["idiot", "clown", "worthless"]
@@ -122,6 +134,15 @@ def term_frequency(spark, sf):
     return index.rows.select("doc_id", plan.occurrences(F.col("tok_w1"), "the").cast("long").alias("tf"))
 
 
+@register("cch_result_cache", f"{_RANKED} SELECT doc_id, rank FROM r ORDER BY rank DESC, doc_id LIMIT 10")
+def result_cache(spark, sf):
+    asked = find(documents(spark, sf), _QUERY).limit(10)
+    cache = ResultCache()
+    cache.page(asked)
+    hit = cache.page(asked)
+    return (hit if cache.hits == 1 else hit.limit(0)).select("doc_id", "rank")
+
+
 # --- totals, pages, unions ---------------------------------------------------------------------------------------
 
 
@@ -231,13 +252,22 @@ def trigram_candidates(spark, sf):
 
 
 @register("spl_suggest", f"""{_TRI}, f AS (SELECT word, 1 AS phase, levenshtein('worthles', ascii_word) AS score, doc_count FROM c
-  UNION ALL SELECT word, 2, levenshtein('worthles', ascii_word), doc_count FROM (SELECT * FROM v WHERE starts_with(ascii_word, 'wo') ORDER BY doc_count DESC, word LIMIT 5000))
+  UNION ALL SELECT word, 2, levenshtein('worthles', ascii_word), doc_count FROM v WHERE starts_with(ascii_word, 'wo'))
 SELECT word, CAST(min(phase) AS INT) AS phase, CAST(min(score) AS INT) AS score, max(doc_count) AS doc_count FROM f WHERE score BETWEEN 1 AND 3 AND length(word) >= 2
 GROUP BY word ORDER BY phase, score, doc_count DESC, word LIMIT 5""")
 def suggest_word(spark, sf):
     return suggest.suggest_term(documents(spark, sf), "worthles", 3, 5)
 
 
+@register("spl_did_you_mean", f"""{_TRI}, f AS (SELECT word, 1 AS phase, levenshtein('worthles', ascii_word) AS score, doc_count FROM c
+  UNION ALL SELECT word, 2, levenshtein('worthles', ascii_word), doc_count FROM (SELECT * FROM v WHERE starts_with(ascii_word, 'wo')))
+SELECT word FROM (SELECT word, min(phase) AS phase, min(score) AS score, max(doc_count) AS doc_count FROM f WHERE score BETWEEN 1 AND 2 AND length(word) >= 2 GROUP BY word ORDER BY phase, score, doc_count DESC, word LIMIT 3)""")
+def did_you_mean(spark, sf):
+    # of the two words of the query the second is spelt right beyond any suggestion
+    found = suggest.did_you_mean(documents(spark, sf), "worthles AND qqqqqqqqqq", 2, 3)
+    return spark.createDataFrame([(w,) for w in found], "word string")
+
+
 @register("spl_suggest_many", """
 WITH q AS (SELECT DISTINCT p_type AS query, lower(p_type) || 's' AS ascii_query FROM part), v AS (SELECT DISTINCT lower(p_type) AS word FROM part),
 qt AS (SELECT DISTINCT query, ascii_query, substr('#' || ascii_query || '#', i, 3) AS g FROM (SELECT *, unnest(range(1, CAST(length(ascii_query) + 1 AS BIGINT))) AS i FROM q)),

@@ -80,6 +80,11 @@ class SearchableSpec:
                 found.append(ColumnSpec(name, **options))
         return SearchableSpec(model, key, tuple(found), **more)
 
+    def positional(self, config: Config | None = None) -> SearchableSpec:
+        """The same columns weighted by their place: the first has the largest weight, each next one less, 1 at least."""
+        top = (config or Config()).max_weight
+        return replace(self, columns=tuple(replace(c, weight=max(1, top - k)) for k, c in enumerate(self.columns)))
+
     def snippet_columns(self) -> list[str]:
         return [c.name for c in self.columns if c.snippet]
 
@@ -94,7 +99,7 @@ class Config:
     operators: tuple[str, ...] = ("AND", "OR", "NOT", "NEAR")
     stopword_locales: tuple[str, ...] = ()
     dedupe_on_stopwords: bool = False
-    analyzer: str = "unicode"
-    vocab_limit: int = 5000
+    analyzer: str | object = "unicode"  # a name, or an analysis.Analyzer
+    vocab_limit: int | None = None  # prefix candidates of a suggestion; None: all
     k1: float = 1.2
     b: float = 0.75

@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import analysis
-from quern.operators.index import Index, IndexStore
+from quern.operators.cache import ResultCache
+from quern.operators.index import Index
 from quern.operators.search import search
+from quern.operators.store import IndexStore
 from quern.spec import Config, Relation, SearchableSpec
 from quern.streaming import sync
 
@@ -149,6 +151,66 @@ def test_store_lifecycle(spark, tmp_path):
     assert store.drop_orphans([]) == ["posts"]
 
 
+def test_changes_cost_what_they_change_and_writers_exclude_each_other(spark, tmp_path):
+    store = IndexStore(spark, f"file://{tmp_path}/ix", max_segments=3)
+    data = [(i, f"word{i % 50} common", "x" * 20 + f" body{i} " + "filler text " * 20) for i in range(2000)]
+    store.rebuild(posts(spark, data), SPEC)
+    size = lambda p: sum(f.stat().st_size for f in p.rglob("*.parquet"))
+    whole = size(tmp_path / "ix")
+    fresh = [(5, "renewed kettle", "z"), (5, "renewed violin", "z"), (9999, "added", "z")]
+    store.upsert(posts(spark, fresh), SPEC, order="title")  # a key given twice is indexed once, by its last row
+    assert size(tmp_path / "ix") - whole < 0.2 * whole
+    now = store.load(SPEC)
+    assert ids(search(now).query("renewed")) == [5] and ids(search(now).query("violin")) == [5] and ids(search(now).query("body5")) == list(range(50, 60)) + list(range(500, 600))
+    assert store.integrity(SPEC) == [] and now.doc_count == 2001
+    folder = tmp_path / "ix/tenant=default/model=posts"
+    (folder / "LOCK").write_text("0")
+    with pytest.raises(RuntimeError, match="being written"):
+        store.delete(spark.createDataFrame([(5,)], "id long"), SPEC)
+    store.unlock("default", "posts")
+    (folder / "_new-abc").write_text("half")  # a writer that stopped midway
+    for k in (5, 6):
+        store.delete(spark.createDataFrame([(k,)], "id long"), SPEC)
+    assert len(store.meta("default", "posts")["segments"]) == 1  # written whole again
+    assert store.load(SPEC).doc_count == 1999 and store.integrity(SPEC) == []
+    assert not (folder / "_new-abc").exists() and len(store.versions("default", "posts")) == 2
+
+
+def test_search_by_postings_equals_search_by_rows(spark, tmp_path):
+    store = IndexStore(spark, f"file://{tmp_path}/ix")
+    data = [*TOPICS, (5, "steam steam", "copper and steam"), (6, "Étude", "kettle"), (7, "", "")]
+    store.rebuild(posts(spark, data), SPEC)
+    rows, written = Index.over(posts(spark, data), SPEC), store.load(SPEC)
+    assert written.written and not rows.written
+    for query in ("steam", "ste", "steam AND rosin", "violin OR kettle", "steam NOT ferry", '"copper kettle"', '"steam"', "title:steam", "title:kettle OR ferry", "steam NEAR copper", 'kettle NOT "copper kettle"', "etude"):
+        a, b = (sorted(map(tuple, search(i).query(query).ranked().collect())) for i in (rows, written))
+        assert a == b, query
+    plan = search(written).query("steam").explain()
+    assert "StringStartsWith(term,steam)" in plan
+
+
+def test_edges_of_searches(spark, index):
+    steam = search(index).query("steam")
+    lamps = Index.over(spark.createDataFrame([(1, "lamp", 3)], "id long, title string, price int"), SearchableSpec.of("lamps", "id", {"title": 3}))
+    assert ids(search(lamps).query("lamp").where("price", ">", None)) == []
+    assert search(lamps).query("").aggregate("price").collect() == [] and search(lamps).query("lamp").models("none").aggregate("price").collect() == []
+    both = Index.over(posts(spark, TOPICS), SearchableSpec.of("posts", "id", {"title": 1, "body": 1}))
+    with pytest.raises(ValueError, match="shares its weight"):
+        search(both).query("title:steam").ids()
+    assert len(steam.rows_within(60)) == 2
+    with pytest.raises(ValueError, match="no scorer"):
+        steam.scorer("none such")
+
+
+def test_results_are_cached_by_version(spark, tmp_path):
+    store, cache = IndexStore(spark, f"file://{tmp_path}/ix"), ResultCache()
+    store.rebuild(posts(spark, TOPICS), SPEC)
+    page = lambda: sorted(r.doc_id for r in cache.page(search(store.load(SPEC)).query("steam")).collect())
+    assert (page(), page(), cache.hits) == (["1", "3"], ["1", "3"], 1)
+    store.delete(spark.createDataFrame([(1,)], "id long"), SPEC)
+    assert page() == ["3"] and cache.hits == 1
+
+
 def test_stream_of_changes(spark, tmp_path):
     spec = SearchableSpec.of("notes", "doc_id", {"body": 1})
     store = IndexStore(spark, f"file://{tmp_path}/ix")
