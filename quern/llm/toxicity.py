@@ -17,7 +17,9 @@ Scoring reads every document in whole, in one pass without a shuffle.
 
 Defined cases: null and empty texts and texts without a word score 0 and are never flagged; a null language counts
 as ``und``; labels without doc_id or toxic value are ignored, and of contradictory labels of one document ``1``
-counts; repeated rows are scored alike; without labels of both classes nothing is flagged.
+counts; repeated rows are scored alike; without labels of both classes nothing is flagged; a text of any length is
+scored in whole; empty tables give an empty result; of the documents doc_id, text and lang are read, of the labels
+doc_id and toxic, whatever other columns there are.
 """
 
 from __future__ import annotations
