@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -265,6 +266,36 @@ def test_tile_pairs_are_skipped_by_counts_alone(spark):
     assert [got.get(k, k) for k in range(len(sig))] == want.tolist()
 
 
+def test_blocks_find_every_near_pair_and_compare_few(spark):
+    # within the radius, two signatures are within the threshold of some block; of all pairs few are compared
+    for n, radius in ((10, 0), (10, 3), (60_000, 26), (3_000_000, 26), (3_000_000, 40)):
+        blocks = simhash.blocks_of(n, radius)
+        assert sum(t + 1 for _, _, t in blocks) == radius + 1 and sum(b for _, b, _ in blocks) <= 128
+        assert all(x[0] + x[1] <= y[0] for x, y in itertools.pairwise(blocks)) and blocks[-1][0] + blocks[-1][1] <= 128
+    share = sum(sum(math.comb(b, e) for e in range(t + 1)) / 2**b for _, b, t in simhash.blocks_of(3_000_000, 26))
+    assert share < 0.08
+    rng = np.random.default_rng(31)
+    sig = rng.integers(0, 2**63, (900, 2), dtype=np.uint64)
+    for k in range(0, 900, 3):  # chains of copies, each 20 to 32 bits from the one before; some in one half
+        for c in (1, 2):
+            sig[k + c] = sig[k + c - 1]
+            for b in rng.choice(128 if k % 2 else 64, rng.integers(20, 33), replace=False):
+                sig[k + c, b // 64] ^= np.uint64(1 << int(b % 64))
+    rows = [(k, int(a.view(np.int64)), int(b.view(np.int64))) for k, (a, b) in enumerate(np.unique(sig, axis=0))]
+    points = spark.createDataFrame(rows, "node long, h0 long, h1 long")
+    all_pairs = [tuple(r) for r in simhash.components(simhash.edges(points)).collect()]
+    for file_rows in (10**6, 200):
+        found = simhash.components(simhash.block_edges(points, len(rows), simhash.RADIUS, 3, file_rows))
+        assert len(all_pairs) > 200 and sorted(tuple(r) for r in found.collect()) == sorted(all_pairs)
+
+
+def test_simhash_by_blocks_matches_brute_force(frame, odd_rows):
+    rows = odd_rows + near_copies(random.Random(3), odd_rows)
+    got = {tuple(r) for r in simhash.duplicates(frame(rows), blocks_from=1).collect()}
+    assert got == brute_groups(rows)
+    assert simhash.duplicates(frame([]), blocks_from=1).count() == 0
+
+
 def test_no_text_is_lost_where_rows_share_an_id(frame):
     rng = random.Random(15)
     a, b = prose(rng, 200), prose(rng, 200)
