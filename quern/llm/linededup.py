@@ -4,8 +4,8 @@ Lines are parsed like log messages (a Drain tree of fixed depth): a line goes do
 and its first ``depth`` words, in which a word with a digit counts as a variable, to a leaf.  There it joins the
 first template that agrees with it in at least ``similarity`` of its words, whose differing words become variables;
 else it founds a template.  Lines of a leaf are taken in a fixed order: the most frequent first, then by hash.  A line
-isn't held against every template of its leaf: of the parts into which its words are divided, one more than words may
-differ, at least one is the same in a template that it joins, and templates are looked up by their parts.
+isn't held against every template of its leaf: of any of its words, one more than may differ, at least one is the same
+in a template that it joins, and templates are looked up by those words that the fewest of them have.
 
 A template recurs if at least ``min_docs`` documents hold lines of it; the lines of recurring templates are dropped
 from all documents.  Of the documents of which such lines make up half or more of the words, those with the same
@@ -14,10 +14,9 @@ set of lines (a line that has a template stands for it) are copies of one page a
 while a passage on ten different pages is dropped everywhere, whatever share of them it makes up.
 
 The tree is spread over the cluster by leaf.  Leaves with fewer than ``min_docs`` lines can't recur, so most text
-never leaves the scan: only the distinct lines of busy leaves are shuffled, and only hashes of the rest.  A leaf of
-more than ``leaf_lines`` distinct lines is divided by the next word, and so on while there are words: a word that at
-least a hundredth of ``leaf_lines`` of its lines have (and ``min_docs``) leads to a leaf of its own, all rarer ones,
-which are likely variable, to one leaf together, as in a tree whose nodes have a bounded number of children.
+never leaves the scan: only the distinct lines of busy leaves are shuffled, and only hashes of the rest.  A leaf is
+never divided, however many lines it has, since that would part lines of one template: it is one task's, which holds
+some 24 bytes for each word of its distinct lines that isn't the same in all of them.
 
 Defined cases: a text of any length is parsed in whole; an empty table stays empty; columns besides doc_id and text are
 passed on as they are; null text stays null, empty text stays empty; lines without a word are kept; a line that repeats
@@ -38,8 +37,8 @@ from quern.llm import arrays
 from quern.llm import kernel as K
 from quern.llm.common import cut, delete, map_arrow, own_folder, pick, prepare, small, texts_of
 
-DEPTH, SIMILARITY, MIN_DOCS, LEAF_LINES = 3, 0.75, 10, 200_000
-#: Leaves of up to this many distinct lines have their templates compared one by one.
+DEPTH, SIMILARITY, MIN_DOCS = 3, 0.75, 10
+#: Leaves of up to this many distinct lines have their templates compared one by one, with the same result.
 FEW_LINES = 48
 _U = np.uint64
 _VARIABLE = _U(0x2A2A2A2A2A2A2A2B)
@@ -97,63 +96,80 @@ def _tokens_task(depth: int):
     return task
 
 
-def drain(tokens: np.ndarray, similarity: float) -> np.ndarray:
-    """For each line of a leaf, in order, the index of the line that founded its template."""
+def drain(tokens: np.ndarray, similarity: float, few: int | None = None) -> np.ndarray:
+    """For each line of a leaf, in order, the index of the line that founded its template.
+
+    Leaves of more than ``few`` lines (FEW_LINES) have their templates looked up, others compared one by one.
+    """
+    need = similarity * tokens.shape[1] - 1e-9
+    if len(tokens) > (FEW_LINES if few is None else few):
+        return _drain_by_words(tokens, math.ceil(need))
     templates = np.empty_like(tokens)
     founder: list[int] = []
     out = np.empty(len(tokens), np.int64)
-    width = tokens.shape[1]
-    need = similarity * width - 1e-9
-    parts = _Parts(tokens, width - math.ceil(need) + 1) if len(tokens) > FEW_LINES else None
     for i, t in enumerate(tokens):
         k = len(founder)
-        if parts is None:
-            fit = np.flatnonzero(np.count_nonzero(templates[:k] == t, axis=1) >= need) if k else ()
-        else:
-            near = parts.templates_like(i)
-            fit = near[np.count_nonzero(templates[near] == t, axis=1) >= need] if len(near) else ()
+        fit = np.flatnonzero(np.count_nonzero(templates[:k] == t, axis=1) >= need) if k else ()
         if len(fit):
             j = fit[0]
             templates[j][templates[j] != t] = np.int64(_VARIABLE)
             out[i] = founder[j]
         else:
-            j = k
             templates[k] = t
             founder.append(i)
             out[i] = i
-        if parts is not None:
-            parts.add(j, templates[j])
     return out
 
 
-class _Parts:
-    """Templates by the hashes of their parts, as they are and as they were."""
-
-    def __init__(self, tokens: np.ndarray, n: int):
-        n = max(1, min(n, tokens.shape[1]))
-        self.edges = np.linspace(0, tokens.shape[1], n + 1).astype(np.int64)[:-1]
-        self.scale = np.random.default_rng(1).integers(1, 2**63, tokens.shape[1], dtype=np.uint64) | _U(1)
-        self.hashes = self._of(tokens)
-        self.found: list[dict[int, list[int]]] = [{} for _ in self.edges]
-        self.now: dict[int, list[int]] = {}
-
-    def _of(self, tokens: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(K.mix(tokens.view(_U)) * self.scale, self.edges, axis=-1)
-
-    def templates_like(self, line: int) -> np.ndarray:
-        lists = [own for part, h in zip(self.found, self.hashes[line].tolist(), strict=True) if (own := part.get(h))]
-        return np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
-
-    def add(self, j: int, template: np.ndarray) -> None:
-        """Files a template under those of its parts that are new or have changed."""
-        hashes = self._of(template).tolist()
-        for part, h, before in zip(self.found, hashes, self.now.get(j, [None] * len(hashes)), strict=True):
-            if h != before:
-                part.setdefault(h, []).append(j)
-        self.now[j] = hashes
+def _drain_by_words(tokens: np.ndarray, need: int) -> np.ndarray:
+    varying = [c for c in range(tokens.shape[1]) if (tokens[:, c] != tokens[0, c]).any()]  # the leaf's own words never differ
+    n, width = len(tokens), len(varying)
+    probes = tokens.shape[1] - need + 1  # of so many words at least one is the same
+    if width < probes:
+        return np.zeros(n, np.int64)  # no two lines differ in more words than may
+    words = np.empty((n, width), np.int32)  # the number of each word, counted over all columns
+    slot, ends, variable = [np.zeros(1, np.int64)], 0, np.full(width, -1, np.int32)
+    for k, c in enumerate(varying):
+        values, of, many = np.unique(tokens[:, c], return_inverse=True, return_counts=True)
+        words[:, k] = of + ends
+        at = np.searchsorted(values, np.int64(_VARIABLE))
+        if at < len(values) and values[at] == np.int64(_VARIABLE):
+            variable[k] = at + ends
+        ends += len(values)
+        slot.append(many)
+    start = np.cumsum(np.concatenate(slot))  # of each word's templates: as many as lines with it at most
+    holds, held = np.empty(n * width, np.int32), np.zeros(ends, np.int32)
+    changed: dict[int, list[int]] = {int(v): [] for v in variable if v >= 0}  # templates that came to have a variable
+    templates, founder, out = np.empty((n, width), np.int32), np.empty(n, np.int64), np.empty(n, np.int64)
+    need, made = need - (tokens.shape[1] - width), 0
+    for i in range(n):
+        t = words[i]
+        many = held[t]
+        for w in changed.keys() & set(t.tolist()) if changed else ():
+            many[t == w] += len(changed[w])
+        best = t[np.argpartition(many, probes - 1)[:probes]] if probes < width else t
+        near = [holds[start[w] : start[w] + held[w]] for w in best.tolist() if held[w]] + [np.array(own, np.int32) for w in best.tolist() if (own := changed.get(w))]
+        fit = np.concatenate(near) if near else holds[:0]
+        if len(fit):
+            fit = fit[np.count_nonzero(templates[fit] == t, axis=1) >= need]
+        if len(fit):
+            j = int(fit.min())
+            for c in np.flatnonzero(templates[j] != t).tolist():
+                if templates[j, c] != variable[c]:
+                    templates[j, c] = variable[c]
+                    if variable[c] >= 0:
+                        changed[int(variable[c])].append(j)
+        else:
+            j = made
+            made += 1
+            templates[j], founder[j] = t, i
+            holds[start[t] + held[t]] = j
+            held[t] += 1
+        out[i] = founder[j]
+    return out
 
 
-def _drain_task(similarity: float):
+def _drain_task(similarity: float, few: int | None):
     def leaf_templates(rows: pa.Table):
         line = rows["line"].to_numpy()
         if len(line) == 1:
@@ -161,7 +177,7 @@ def _drain_task(similarity: float):
         lists = rows["tokens"].combine_chunks()
         width = len(lists[0])
         tokens = lists.flatten().to_numpy().reshape(len(line), width)
-        return line, line[drain(tokens, similarity)]
+        return line, line[drain(tokens, similarity, few)]
 
     def task(batches):
         # rows come sorted by leaf; the last leaf of a batch may go on in the next
@@ -203,24 +219,8 @@ def further_copies(lines: DataFrame, some: DataFrame, templates: DataFrame) -> D
     return sets.join(least, "doc_id", "left_anti").select("doc_id")
 
 
-def divided(distinct: DataFrame, depth: int, leaf_lines: int, least: int) -> DataFrame:
-    """distinct (leaf, line, tokens, count) with its leaves of more than leaf_lines lines divided by further words."""
-    level = depth
-    while True:
-        large = cut(distinct.where(F.size("tokens") > level).groupBy("leaf").count().where(F.col("count") > leaf_lines).select("leaf"))
-        n = large.count()
-        if not n:
-            return distinct
-        word = F.element_at("tokens", level + 1).alias("word")
-        own = distinct.join(small(large, n), "leaf", "left_semi").groupBy("leaf", word).count().where(F.col("count") >= least).select("leaf", "word", F.lit(True).alias("frequent"))
-        frequent = cut(own)
-        marked = distinct.withColumn("word", F.get("tokens", F.lit(level))).join(small(frequent, frequent.count()), ["leaf", "word"], "left")
-        distinct = cut(marked.select(F.when(F.col("frequent"), F.xxhash64("leaf", "word", F.lit(level))).otherwise(F.col("leaf")).alias("leaf"), "line", "tokens", "count"))
-        level += 1
-
-
-def recurring(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, leaf_lines: int = LEAF_LINES) -> DataFrame:
-    """(line, template): hashes of the lines whose templates recur; docs has doc_id and text."""
+def recurring(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, min_docs: int = MIN_DOCS, leaf_lines: int | None = None) -> DataFrame:
+    """(line, template): hashes of the lines whose templates recur; docs has doc_id and text.  leaf_lines: drain's few."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = docs.where("doc_id is not null and text is not null")
@@ -233,8 +233,8 @@ def recurring(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARIT
     times = hot.groupBy("line").count()
     texts = map_arrow(named.select("text"), _tokens_task(depth), "leaf long, line long, tokens array<bigint>").join(busy, "leaf", "left_semi")
     distinct = cut(texts.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens")).join(times, "line").select("leaf", "line", "tokens", "count"))
-    by_leaf = divided(distinct, depth, leaf_lines, max(min_docs, leaf_lines // 100)).repartition("leaf").sortWithinPartitions("leaf", F.desc("count"), "line").select("leaf", "line", "tokens")
-    templates = cut(map_arrow(by_leaf, _drain_task(similarity), "line long, template long"))
+    by_leaf = distinct.repartition("leaf").sortWithinPartitions("leaf", F.desc("count"), "line").select("leaf", "line", "tokens")
+    templates = cut(map_arrow(by_leaf, _drain_task(similarity, leaf_lines), "line long, template long"))
     held = cut(hot.join(small(templates, templates.count()), "line").groupBy("doc_id", "template").agg(F.sum("n").alias("n"), F.max("total").alias("total")))
     often = held.groupBy("template").count().where(F.col("count") >= min_docs).select("template")
     copies = held.join(often, "template", "left_semi").groupBy("doc_id").agg(F.sum("n").alias("n"), F.max("total").alias("total")).where("n * 2 >= total").select("doc_id")

@@ -362,6 +362,18 @@ def test_large_leaves_are_divided(frame):
     assert sorted(got) == sorted(want) and not any("harbour" in t for _, t in got)
 
 
+def test_templates_dont_depend_on_the_size_of_their_leaf(frame):
+    # one template over pages with either of two words; a leaf divided by that word would part it into two that don't recur
+    rng = random.Random(23)
+    rows = [(k, f"In the same {'northern' if k % 2 else 'southern'} harbour of our town again\n{prose(rng, 60)}") for k in range(10)]
+    rows = [(k, text.replace("town", words(random.Random(k), 1)[0])) for k, text in rows]
+    rows += [(100 + k, f"In the same {'northern' if k % 2 else 'southern'} {' '.join(words(rng, 5))}\n{prose(rng, 60)}") for k in range(60)]
+    want = sorted(brute_line_dedup(rows))
+    assert not any("harbour" in t for _, t in want) and sum("In the same" in t for _, t in want) >= 50
+    for few in (None, 10, 10**6):
+        assert sorted((r["doc_id"], r["text"]) for r in linededup.clean(frame(rows), leaf_lines=few).collect()) == want
+
+
 def test_line_dedup_of_pages_that_are_mostly_boilerplate(frame):
     rng = random.Random(21)
     line = lambda n: " ".join(words(rng, n))
