@@ -1,4 +1,4 @@
-"""Text analysis in two hosts: Column expressions for documents, Python for queries.
+"""Text analysis in two hosts: Columns for documents (expressions, or Arrow batches: texts.py), Python for queries.
 
 Both follow one order: tags out, accents folded, per-character scripts separated, (Arabic stemmed,) lower case,
 stop-words out (documents only), long tokens cut, white space squeezed.  Punctuation stays until tokens are taken.
@@ -17,41 +17,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.functions import arabic, stem, stopwords
-
-#: Scripts whose characters are tokens by themselves, as a character class body (Java, Python).
-_PER_CHARACTER = [
-    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1100, 0x11FF), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF),
-    (0x4E00, 0x9FFF), (0xAC00, 0xD7AF), (0xF900, 0xFAFF), (0x20000, 0x2EBEF), (0x30000, 0x323AF),
-]
-JAVA_CLASS = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in _PER_CHARACTER)
-PYTHON_CLASS = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _PER_CHARACTER)
-_SEPARATED = [(0x1100, 0x11FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7AF), (0xF900, 0xFAFF)]
-_JAVA_SEPARATED = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in _SEPARATED)
-_PY_SEPARATED = re.compile("([" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _SEPARATED) + "])(?=[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _SEPARATED) + "])")
-LONGEST = 32
-SCRIPTS = (
-    "Latin Cyrillic Greek Arabic Hebrew Han Hiragana Katakana Hangul Thai Lao Khmer Myanmar Devanagari Bengali Tamil Telugu Kannada "
-    "Malayalam Gujarati Gurmukhi Oriya Sinhala Georgian Armenian Ethiopic Tibetan Mongolian Cherokee Thaana"
-).split()
-
-
-def _fold_char(c: str) -> str:
-    kept = "".join(x for x in unicodedata.normalize("NFKD", c) if unicodedata.category(x) != "Mn")
-    return unicodedata.normalize("NFC", kept)
-
+from quern.functions import stem, stopwords, texts
+from quern.functions.texts import LIGATURES, LONGEST, PER_CHARACTER, PY_SEPARATED, PYTHON_CLASS, SCRIPTS, SEPARATED, SINGLE
 
-_SINGLE, _SEVERAL = {}, {}
-for _cp in [*range(0xA0, 0xAC00), *range(0xF900, 0xFFFF)]:
-    _c = chr(_cp)
-    if unicodedata.category(_c) not in ("Mn", "Cn", "Co", "Cs"):
-        _f = _fold_char(_c)
-        if _f != _c and len(_f) == 1:
-            _SINGLE[_c] = _f
-        elif len(_f) > 1 and unicodedata.category(_c)[0] == "L":
-            _SEVERAL[_c] = _f
-_LIGATURES = {c: f for c, f in _SEVERAL.items() if 0xFB00 <= ord(c) <= 0xFB06 or c in "ĲĳŉǄǅǆǇǈǉǊǋǌǱǲǳ"}
-_FROM, _TO = "".join(_SINGLE), "".join(_SINGLE.values())
+JAVA_CLASS = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in PER_CHARACTER)
+_JAVA_SEPARATED = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in SEPARATED)
+_FROM, _TO = "".join(SINGLE), "".join(SINGLE.values())
 
 
 # --- documents: Column -> Column ---------------------------------------------------------------------------------
@@ -64,9 +35,9 @@ def strip_html(c: Column) -> Column:
 def fold_accents(c: Column) -> Column:
     """Compatibility forms and letters with marks become base letters; JVM only (multi-letter forms: ligatures)."""
     c = F.regexp_replace(F.translate(c, _FROM, _TO), r"\p{Mn}+", "")
-    ligature = F.lit("[" + "".join(_LIGATURES) + "]")
+    ligature = F.lit("[" + "".join(LIGATURES) + "]")
     spelled = c
-    for one, several in _LIGATURES.items():
+    for one, several in LIGATURES.items():
         spelled = F.replace(spelled, F.lit(one), F.lit(several))
     return F.when(F.regexp_like(c, ligature), spelled).otherwise(c)
 
@@ -77,9 +48,7 @@ def fold_accents_exact(s: pd.Series) -> pd.Series:
     return s.map(fold_py, na_action="ignore")
 
 
-@F.pandas_udf(T.StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+nfc = F.arrow_udf(texts.nfc, T.StringType())
 
 
 def separate_cjk(c: Column) -> Column:
@@ -104,49 +73,36 @@ def remove_stopwords(c: Column, locales: tuple[str, ...], dedupe: bool = False)
     return F.array_join(F.array_except(words, stop) if dedupe else F.filter(words, lambda w: ~F.array_contains(stop, w)), " ")
 
 
-@F.pandas_udf(T.StringType())
-def arabic_stems(s: pd.Series) -> pd.Series:
-    return s.map(arabic.stem_text, na_action="ignore")
-
-
-@F.pandas_udf(T.StringType())
-def arabic_stems_if_any(s: pd.Series) -> pd.Series:
-    return s.map(_stem_arabic, na_action="ignore")
-
-
-def _stem_arabic(text: str) -> str:
-    return arabic.stem_text(text) if regex.search(r"\p{Arabic}", text) else text
-
-
-def stems(locale: str):
-    @F.pandas_udf(T.StringType())
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: stem.stem_text(t, locale), na_action="ignore")
-
-    return run
+arabic_stems = F.arrow_udf(texts.arabic_stems, T.StringType())
+_arabic_stems_if_any = F.arrow_udf(texts.arabic_stems_if_any, T.StringType())
+_texts = F.arrow_udf(texts.texts, T.StringType())
+_tokens = F.arrow_udf(texts.tokens, T.ArrayType(T.StringType()))
+_texts_and_tokens = F.arrow_udf(texts.texts_and_tokens, T.StructType().add("text", T.StringType()).add("tok", T.ArrayType(T.StringType())))
+_stems = F.arrow_udf(texts.stems, T.StringType())
+_scripts = F.arrow_udf(texts.scripts, T.ArrayType(T.StringType()))
+_trigrams = F.arrow_udf(texts.trigrams, T.ArrayType(T.StringType()))
 
 
 def analyze(c: Column, analyzer: str = "unicode", locales: tuple[str, ...] = (), dedupe: bool = False, locale: str = "en") -> Column:
     """A text as it is indexed.
 
     analyzer: ``unicode``, ``fallback`` (transliterated to ASCII, no Arabic), ``stemming`` or ``identity``.
-    Texts with Arabic letters are stemmed row by row, as queries are; this is the one step that needs Python.
+    Texts with Arabic letters are stemmed row by row, as queries are.
     """
     if analyzer == "identity":
         return c
     c = F.coalesce(c.cast("string"), F.lit(""))
-    c = strip_html(c)
-    plain = F.octet_length(c) == F.char_length(c)  # ASCII has nothing to fold or to separate
-    c = F.when(plain, c).otherwise(separate_cjk(fold_accents(c)))
-    if analyzer == "fallback":
-        c = transliterate(c)
+    if analyzer != "fallback" and not locales:
+        c = _texts(c)
     else:
-        c = arabic_stems_if_any(c)
-    c = F.lower(c)
-    if locales:
-        c = remove_stopwords(squish(c), locales, dedupe)
-    c = squish(truncate_tokens(c))
-    return stems(locale)(c) if analyzer == "stemming" and stem.known(locale) else c
+        c = strip_html(c)
+        plain = F.octet_length(c) == F.char_length(c)  # ASCII has nothing to fold or to separate
+        c = F.when(plain, c).otherwise(separate_cjk(fold_accents(c)))
+        c = F.lower(transliterate(c) if analyzer == "fallback" else _arabic_stems_if_any(c))
+        if locales:
+            c = remove_stopwords(squish(c), locales, dedupe)
+        c = squish(truncate_tokens(c))
+    return _stems(c) if analyzer == "stemming" and stem.known(locale) else c
 
 
 @dataclass(frozen=True)
@@ -171,9 +127,12 @@ def analyzed_py(text: str, analyzer: str | Analyzer = "unicode", locale: str = "
 
 def tokens(c: Column) -> Column:
     """Letter and digit runs of at least 2 characters, of any length in text with a per-character script."""
-    words = F.split(F.lower(c), r"[^\p{L}\p{N}]+")
-    short = F.regexp_like(c, F.lit(f"[{JAVA_CLASS}]"))  # outside the lambdas, which run once a token
-    return F.when(short, F.filter(words, lambda t: F.length(t) >= 1)).otherwise(F.filter(words, lambda t: F.length(t) >= 2))
+    return _tokens(c.cast("string"))
+
+
+def with_tokens(c: Column) -> Column:
+    """A struct of a text as ``unicode`` indexes it and its tokens: analyze and tokens in one pass."""
+    return _texts_and_tokens(c.cast("string"))
 
 
 def word_difference(old: Column, new: Column) -> Column:
@@ -189,14 +148,12 @@ def vocabulary_tokens(c: Column) -> Column:
 
 def trigrams(c: Column) -> Column:
     """Distinct trigrams of a word between number signs."""
-    padded = F.concat(F.lit("#"), c, F.lit("#"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - 2)), lambda i: F.substring(padded, i, F.lit(3))))
+    return _trigrams(c.cast("string"))
 
 
 def scripts(c: Column) -> Column:
     """Names of the scripts in a text; Common if there is none."""
-    found = F.filter(F.array(*[F.when(F.regexp_like(c, F.lit(rf"\p{{Is{s}}}")), F.lit(s)) for s in SCRIPTS]), lambda s: s.isNotNull())
-    return F.when(F.size(found) == 0, F.array(F.lit("Common"))).otherwise(found)
+    return _scripts(c.cast("string"))
 
 
 _ASCII = {**dict(zip("абвгдезийклмнопрстуфхыэ", "abvgdezijklmnoprstufhye", strict=True)), "ё": "e", "ж": "zh", "ц": "c", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ь": "", "ю": "yu", "я": "ya"}
@@ -208,10 +165,10 @@ _ASCII_MANY = {a: b for a, b in _ASCII.items() if len(b) != 1}
 
 def transliterate(c: Column) -> Column:
     """Latin, Greek and Cyrillic letters spelled in ASCII, lower-cased."""
-    c = F.translate(F.lower(fold_accents(c)), "".join(_ASCII_ONE), "".join(_ASCII_ONE.values()))
+    out = F.translate(F.lower(fold_accents(c)), "".join(_ASCII_ONE), "".join(_ASCII_ONE.values()))
     for one, several in _ASCII_MANY.items():
-        c = F.replace(c, F.lit(one), F.lit(several))
-    return c
+        out = F.replace(out, F.lit(one), F.lit(several))
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(out)
 
 
 def contains_folded(a: Column, b: Column) -> Column:
@@ -241,11 +198,11 @@ def analyze_py(text: str, analyzer: str = "unicode", locale: str = "en") -> str:
     """A query as documents are analysed, but without stop-words."""
     if analyzer == "identity":
         return text
-    text = _PY_SEPARATED.sub(r"\1 ", fold_py(re.sub("<[^>]*>", "", text)))
+    text = PY_SEPARATED.sub(r"\1 ", fold_py(re.sub("<[^>]*>", "", text)))
     if analyzer == "fallback":
         text = transliterate_py(text)
     else:
-        text = _stem_arabic(text)
+        text = texts.stem_arabic(text)
     text = re.sub(rf"(\S{{{LONGEST}}})\S+", r"\1", text.lower())
     text = re.sub(r"\s+", " ", text).strip()
     return stem.stem_text(text, locale) if analyzer == "stemming" else text
@@ -260,6 +217,4 @@ def scripts_py(text: str) -> list[str]:
     return [s for s in SCRIPTS if regex.search(rf"\p{{{s}}}", text)] or ["Common"]
 
 
-def trigrams_py(word: str) -> list[str]:
-    padded = f"#{word}#"
-    return list(dict.fromkeys(padded[i : i + 3] for i in range(max(1, len(padded) - 2))))
+trigrams_py = texts.trigrams_of

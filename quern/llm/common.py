@@ -9,14 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import let_workers_import, shared_folder
+from quern.session import bound_batches, let_workers_import, shared_folder
 
 #: Rows of an id table that is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Rows and bytes of an Arrow batch: 10,000 texts of a crawl can be more than a worker should hold.
-BATCH_ROWS, BATCH_BYTES = "2000", str(4 << 20)
-#: What a worker allocates for one batch goes back to the system instead of staying with the worker.
-WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20)}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,9 +26,7 @@ def prepare(spark: SparkSession) -> None:
     """
     let_workers_import(spark)
     sc = spark.sparkContext
-    sc.environment.update({k: v for k, v in WORKER_ENV.items() if k not in sc.environment})
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    bound_batches(spark)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(spark))
         fs, path = filesystem(spark, sc.getCheckpointDir())  # a folder of this session's own

@@ -64,14 +64,18 @@ def rows(records: DataFrame, spec: SearchableSpec, config: Config = Config(), te
     def analysed(c: ColumnSpec) -> Column:
         return analysis.analyzed(F.col(f"`{c.name}`"), config.analyzer, config.stopword_locales, config.dedupe_on_stopwords, c.locale)
 
-    staged = once(docs.select("doc_id", title_of(spec).alias("title"), *[analysed(c).alias(f"a{k}") for k, c in enumerate(spec.columns)]))
+    # the usual analyser gives texts and tokens in one pass; others give texts, whose tokens are taken in a second one
+    whole = config.analyzer == "unicode" and not config.stopword_locales
+    staged = once(docs.select("doc_id", title_of(spec).alias("title"), *[(analysis.with_tokens(F.col(f"`{c.name}`")) if whole else analysed(c)).alias(f"a{k}") for k, c in enumerate(spec.columns)]))
+    text_of = lambda name: F.col(f"{name}.text") if whole else F.col(name)
+    tokens_of = lambda name: F.col(f"{name}.tok") if whole else analysis.tokens(F.col(name))
     texts, toks = [], []
     for w in range(1, config.max_weight + 1):
         own = [f"a{k}" for k, c in enumerate(spec.columns) if weight(c) == w]
-        texts.append((F.trim(F.concat_ws(" ", *own)) if own else F.lit("")).alias(f"text_w{w}"))
+        texts.append((F.trim(F.concat_ws(" ", *map(text_of, own))) if own else F.lit("")).alias(f"text_w{w}"))
         parts = []
         for name in own:
-            parts += [analysis.tokens(F.col(name)), F.array(F.lit(""))]
+            parts += [tokens_of(name), F.array(F.lit(""))]
         toks.append((F.concat(*parts[:-1]) if own else F.array().cast("array<string>")).alias(f"tok_w{w}"))
     at = (synced_at if synced_at is not None else F.lit(None).cast("timestamp")).alias("last_synced_at")
     made = once(staged.select(F.lit(tenant).alias("tenant"), F.lit(spec.model).alias("model"), "doc_id", "title", *texts, *toks, at))
@@ -80,13 +84,13 @@ def rows(records: DataFrame, spec: SearchableSpec, config: Config = Config(), te
 
 def with_lengths(frame: DataFrame, config: Config = Config()) -> DataFrame:
     """Index rows with the number of tokens of each bucket, null for a bucket without text."""
-    length = lambda w: F.when(F.col(f"text_w{w}") != "", F.size(F.filter(F.col(f"tok_w{w}"), lambda t: t != "")))
+    length = lambda w: F.when(F.col(f"text_w{w}") != "", F.size(F.array_remove(F.col(f"tok_w{w}"), "")))
     return frame.withColumns({f"len_w{w}": length(w) for w in range(1, config.max_weight + 1)})
 
 
 def words_of(config: Config = Config()) -> Column:
     """All tokens of a row, duplicates included."""
-    return F.filter(F.concat(*[F.col(f"tok_w{w}") for w in range(1, config.max_weight + 1)]), lambda t: t != "")
+    return F.array_remove(F.concat(*[F.col(f"tok_w{w}") for w in range(1, config.max_weight + 1)]), "")
 
 
 def stats(index: DataFrame, config: Config = Config()) -> DataFrame:

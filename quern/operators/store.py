@@ -15,26 +15,36 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import analysis
+from quern.operators import blocks
 from quern.operators.index import Index, postings, pruned, rows, vocabulary_trigrams, with_lengths, words_of
 from quern.sources import io
 from quern.spec import Config, SearchableSpec
 
 #: Replaced keys that are broadcast to the rows of older segments; more are joined by shuffles.
 BROADCAST_KEYS = 1_000_000
+#: Times its share of the cores that a partition may hold before records are dealt out again.
+SKEW = 2
+#: Texts and tokens of an index are large and alike.
+COMPRESSION = "zstd"
 
 
 def spread(records: DataFrame, key: str) -> DataFrame:
-    """The records in at least as many partitions as there are cores: one small file would be one task."""
-    spark = records.sparkSession
-    n = spark.sparkContext.defaultParallelism
-    return records.repartition(n, F.col(f"`{key}`")) if records._jdf.rdd().getNumPartitions() < n else records
+    """The records spread over the cores: one small file, or a large one of one row group, would be one task."""
+    n = records.sparkSession.sparkContext.defaultParallelism
+    parts = records._jdf.rdd().getNumPartitions()
+    if parts >= n:
+        # a file is divided by its bytes, but read by its row groups: partitions may be empty
+        sizes = [r[0] for r in records.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).select("n").collect()]
+        if max(sizes, default=0) * n <= SKEW * sum(sizes):
+            return records
+    return records.repartition(max(n, parts), F.col(f"`{key}`"))
 
 
 def one_a_key(records: DataFrame, key: str, order: str | None = None) -> DataFrame:
@@ -145,6 +155,7 @@ class IndexStore:
         paths = lambda name, some: [f"{base}/segments/{s['seg']}/{name}" for s in some]
         read = lambda name: self.spark.read.parquet(*paths(name, segments))
         tables = {name: read(name) for name in ("index", "postings", "term_df", "vocab", "vocab_tri")}
+        tables["postings"] = tables["postings"].withColumns({"tenant": F.lit(tenant), "model": F.lit(spec.model)})
         dead = [s for s in segments if s["dead"]]
         if dead:
             gone = self.spark.read.parquet(*paths("dead", dead)).toDF("__id", "__seg")
@@ -167,46 +178,52 @@ class IndexStore:
     def _segment(self, base: str, seg: int, fresh: DataFrame, spec: SearchableSpec, tenant: str, removed: DataFrame | None) -> tuple[int, int, int]:
         """Writes a segment; the change of documents and of tokens, and the keys that it replaces."""
         at = f"{base}/segments/{seg}"
-        fresh.withColumn("seg", F.lit(seg)).write.mode("overwrite").parquet(f"{at}/index")
+        fresh.withColumn("seg", F.lit(seg)).write.mode("overwrite").option("compression", COMPRESSION).parquet(f"{at}/index")
         made = self.spark.read.parquet(f"{at}/index")
         lengths = [F.coalesce(F.col(f"len_w{w}"), F.lit(0)) for w in range(1, self.config.max_weight + 1)]
         total = F.sum(sum(lengths[1:], lengths[0]))
 
-        def write(frame: DataFrame, name: str, *by: str) -> DataFrame:
-            frame.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").parquet(f"{at}/{name}")
+        # what all rows of a segment share isn't shuffled with them
+        fixed = {"tenant": F.lit(tenant), "model": F.lit(spec.model), "seg": F.lit(seg)}
+
+        def put(frame: DataFrame, name: str, *shared: str) -> DataFrame:
+            frame.withColumns({k: fixed[k] for k in shared}).write.mode("overwrite").option("compression", COMPRESSION).parquet(f"{at}/{name}")
             return self.spark.read.parquet(f"{at}/{name}")
 
+        def write(frame: DataFrame, name: str, by: str, *shared: str) -> DataFrame:
+            return put(frame.repartitionByRange(by).sortWithinPartitions(by), name, *shared)
+
         def terms() -> None:
-            own = write(postings(made, self.config).withColumn("seg", F.lit(seg)), "postings", "term", "doc_id")
+            keyed = made.where(F.col("doc_id").isNotNull())
+            parts = [blocks.sorted_postings(keyed, range(1, self.config.max_weight + 1), blocks.ranges(keyed, words_of(self.config), length))]
+            if keyless:  # they share a key, so that their postings are those of one document
+                parts.append(postings(made.where(F.col("doc_id").isNull()), self.config))
+            own = put(reduce(DataFrame.unionByName, [p.select("term", "doc_id", "w", "tf", "dl") for p in parts]), "postings", "seg")
             buckets = {min(max(c.weight, 1), self.config.max_weight) for c in spec.columns}
             # a document has a row for each of its buckets with the term
-            held = own.select("tenant", "model", "term", "doc_id").distinct() if len(buckets) > 1 else own
-            df = held.groupBy("tenant", "model", "term").agg(F.count("*").alias("df"))
+            held = own.select("term", "doc_id").distinct() if len(buckets) > 1 else own
+            df = held.groupBy("term").agg(F.count("*").alias("df"))
             if removed is not None:
-                lost = gone.select("tenant", "model", F.explode(F.array_distinct(words_of(self.config))).alias("term"))
-                lost = lost.groupBy("tenant", "model", "term").agg((-F.count("*")).alias("df"))
-                df = df.unionByName(lost).groupBy("tenant", "model", "term").agg(F.sum("df").alias("df")).where("df <> 0")
-            words = write(df, "term_df", "term").select("tenant", F.col("term").alias("word"), F.col("df").alias("doc_count"))
-            vocab = write(words.select("tenant", "word", analysis.transliterate(F.col("word")).alias("ascii_word"), "doc_count"), "vocab", "ascii_word")
-            write(vocabulary_trigrams(vocab), "vocab_tri", "trigram")
-
-        def figures() -> tuple[int, int]:
-            row = made.agg(F.count("*"), total).first()
-            return int(row[0]), int(row[1] or 0)
-
+                lost = gone.select(F.explode(F.array_distinct(words_of(self.config))).alias("term"))
+                lost = lost.groupBy("term").agg((-F.count("*")).alias("df"))
+                df = df.unionByName(lost).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+            words = write(df, "term_df", "term", "tenant", "model").select(F.col("term").alias("word"), F.col("df").alias("doc_count"))
+            vocab = write(words.select("word", analysis.transliterate(F.col("word")).alias("ascii_word"), "doc_count"), "vocab", "ascii_word", "tenant")
+            grams = vocabulary_trigrams(vocab).drop("tenant").withColumn("ascii_word", F.when(F.col("ascii_word") != F.col("word"), F.col("ascii_word")))
+            grams = grams.repartitionByRange("trigram").sortWithinPartitions("trigram")
+            put(grams.withColumn("ascii_word", F.coalesce("ascii_word", "word")), "vocab_tri", "tenant")
+
+        row = made.agg(F.count("*"), total, F.count_if(F.col("doc_id").isNull())).first()
+        count, length, keyless = int(row[0]), int(row[1] or 0), bool(row[2])
         if removed is not None:
             removed.write.mode("overwrite").parquet(f"{at}/removed")
             gone = self.spark.read.parquet(f"{at}/removed")
             gone.select("doc_id", F.lit(seg).alias("seg")).write.mode("overwrite").parquet(f"{at}/dead")
-        with ThreadPoolExecutor(2) as pool:
-            rest = pool.submit(terms)
-            count, length = figures()
-            dead = 0
-            if removed is not None:
-                row = gone.agg(F.count("*"), total).first()
-                dead, count, length = int(row[0]), count - int(row[0]), length - int(row[1] or 0)
-            rest.result()
+        terms()
+        dead = 0
         if removed is not None:
+            row = gone.agg(F.count("*"), total).first()
+            dead, count, length = int(row[0]), count - int(row[0]), length - int(row[1] or 0)
             fs, p = self._fs(f"{at}/removed")
             fs.delete(p, True)
         return count, length, dead

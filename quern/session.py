@@ -7,6 +7,10 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows and bytes of an Arrow batch: 10,000 texts of a crawl can be more than a worker should hold.
+BATCH_ROWS, BATCH_BYTES = "2000", str(4 << 20)
+#: What a worker allocates for one batch goes back to the system instead of staying with the worker.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20)}
 _ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -21,6 +25,14 @@ def let_workers_import(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *parts])
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounded Arrow batches for this session's workers, so that their memory doesn't follow the input."""
+    sc = spark.sparkContext
+    sc.environment.update({k: v for k, v in WORKER_ENV.items() if k not in sc.environment})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that every executor sees: the session's spark.checkpoint.dir; one in /tmp only for local sessions."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
