@@ -6,9 +6,10 @@ from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quern.functions import analysis, texts
-from quern.operators import blocks
+from quern.operators import batch, blocks
 from quern.operators.store import IndexStore, spread
 from quern.session import bound_batches
 from quern.spec import SearchableSpec
@@ -72,3 +73,25 @@ def test_batches_are_bounded(spark):
         return s * 0 + len(s)
 
     assert spark.range(5000).coalesce(1).select(rows("id").alias("n")).agg(F.max("n")).first()[0] <= 2000
+
+
+def test_many_queries_are_scored_without_listing_pairs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(batch, "SLICE_DOCS", 70)
+    monkeypatch.setattr(batch, "SLICE_PAIRS", 150)
+    monkeypatch.setattr(batch, "HELD", 5)
+    spec = SearchableSpec.of("notes", "id", {"head": 3, "body": 1, "tail": 1})
+    data = [(i, f"w{i % 5} common" if i % 3 else "", body, f"w{i % 7}") for i, body in notes(spark)]
+    store = IndexStore(spark, f"file://{tmp_path}/ix")
+    store.rebuild(spark.createDataFrame(data, "id long, head string, body string, tail string"), spec)
+    index = store.load(spec)
+    asked = spark.createDataFrame([(1, "w1 common"), (2, "w3"), (2, "w3 rare"), (3, "w2 nowhere"), (4, ""), (None, "rare w4 w5 w5")], "q int, t string")
+    for mode in ("or", "and"):
+        found = batch.batch_topk(index, asked, "q", "t", 7, mode)
+        got = sorted(map(tuple, found.collect()), key=str)
+        weighed = batch.query_terms(asked, "q", "t").join(index.table("term_df").select("term", "df"), "term")
+        every = batch._by_postings(index, weighed, mode)
+        first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rank"), "doc_id"))
+        want = every.withColumn("place", first).where("place <= 7").select("query_id", "place", "doc_id", "rank")
+        assert got == sorted(map(tuple, want.collect()), key=str) and got
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "countDistinct" not in plan and "count(distinct" not in plan
