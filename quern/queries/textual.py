@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.catalogue import register
 from quern.functions import analysis, stopwords
+from quern.operators.store import spread
 from quern.queries.base import D, norm
 from quern.sources.io import table
 
@@ -13,6 +14,11 @@ _STOP = ", ".join(f"'{w}'" for w in sorted(stopwords.of(("en", "fr"))) if "'" no
 _SPACED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 
 
+def _documents(spark, sf):
+    """The documents dealt out to the cores, for steps in Python that take a while a text."""
+    return spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+
+
 @register("txt_strip_html", "SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS text FROM pages")
 def strip_html(spark, sf):
     return table(spark, sf, "pages").select("page_id", analysis.strip_html(F.col("html")).alias("text"))
@@ -20,7 +26,7 @@ def strip_html(spark, sf):
 
 @register("txt_nfc", "SELECT doc_id, nfc_normalize(text) AS text FROM documents")
 def nfc(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", analysis.nfc("text").alias("text"))
+    return _documents(spark, sf).select("doc_id", analysis.nfc("text").alias("text"))
 
 
 @register("txt_fold_accents", "SELECT doc_id, strip_accents(text) AS text FROM documents")
@@ -30,7 +36,7 @@ def fold_accents(spark, sf):
 
 @register("txt_fold_accents_exact", "SELECT doc_id, strip_accents(text) AS text FROM documents")
 def fold_accents_exact(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", analysis.fold_accents_exact("text").alias("text"))
+    return _documents(spark, sf).select("doc_id", analysis.fold_accents_exact("text").alias("text"))
 
 
 _CJK = r"\x{1100}-\x{11FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}"
@@ -75,13 +81,13 @@ def remove_stopwords_dedupe(spark, sf):
 
 @register("txt_analyze", f"SELECT doc_id, {norm('text')} AS text FROM documents")
 def analyze(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", analysis.analyze(F.col("text")).alias("text"))
+    return _documents(spark, sf).select("doc_id", analysis.analyze(F.col("text")).alias("text"))
 
 
 @register("txt_tokens", f"WITH {D} SELECT doc_id, CAST(len(tok) AS BIGINT) AS n, array_to_string(tok, ' ') AS tokens FROM d")
 def tokens(spark, sf):
     t = analysis.tokens(analysis.analyze(F.col("text")))
-    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.size(t).cast("long").alias("n"), F.array_join(t, " ").alias("tokens"))
+    return _documents(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), F.size(t).cast("long").alias("n"), F.array_join(t, " ").alias("tokens"))
 
 
 @register("txt_vocabulary_tokens", rf"""
@@ -105,7 +111,7 @@ def trigrams(spark, sf):
 SELECT doc_id, CASE WHEN regexp_matches(text, '\p{Latin}') AND regexp_matches(text, '\p{Cyrillic}') THEN 'Latin,Cyrillic'
   WHEN regexp_matches(text, '\p{Latin}') THEN 'Latin' WHEN regexp_matches(text, '\p{Cyrillic}') THEN 'Cyrillic' ELSE 'Common' END AS scripts FROM documents""")
 def scripts(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.array_join(analysis.scripts(F.col("text")), ",").alias("scripts"))
+    return _documents(spark, sf).select("doc_id", F.array_join(analysis.scripts(F.col("text")), ",").alias("scripts"))
 
 
 @register("txt_similar", """
@@ -129,12 +135,12 @@ def transliterate(spark, sf):
 
 @register("txt_arabic_stem")
 def arabic_stem(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", analysis.arabic_stems("text").alias("text"))
+    return _documents(spark, sf).select("doc_id", analysis.arabic_stems("text").alias("text"))
 
 
 @register("txt_stemming")
 def stemming(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", analysis.analyze(F.col("text"), "stemming").alias("text"))
+    return _documents(spark, sf).select("doc_id", analysis.analyze(F.col("text"), "stemming").alias("text"))
 
 
 @register("txt_fallback", rf"""

@@ -95,3 +95,15 @@ def test_many_queries_are_scored_without_listing_pairs(spark, tmp_path, monkeypa
         assert got == sorted(map(tuple, want.collect()), key=str) and got
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "countDistinct" not in plan and "count(distinct" not in plan
+
+
+def test_texts_are_dealt_out_to_all_cores(spark, tmp_path):
+    from quern.queries import textual
+
+    data = [(i, f"relational ponies {i}") for i in range(3000)]
+    spark.createDataFrame(data, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for query in (textual.stemming, textual.scripts, textual.tokens, textual.nfc, textual.arabic_stem):
+        found = query(spark, str(tmp_path))
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) < 1500, query
+    assert {r["text"] for r in textual.stemming(spark, str(tmp_path)).where("doc_id = 7").collect()} == {"relat poni 7"}
